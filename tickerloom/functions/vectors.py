@@ -1,0 +1,44 @@
+"""Cosine similarity of an embedding column against a few reference vectors."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tickerloom.functions.text import col
+
+MAX_REFERENCES = 64
+
+
+def reference_vectors(vectors: DataFrame, group: str, order: str, vector: str, k: int = 5) -> list[list[float]]:
+    """The first vector of each of the ``k`` lowest groups; ``k`` rows reach the driver."""
+    if k > MAX_REFERENCES:
+        raise ValueError("too many reference vectors for literals")
+    rows = vectors.groupBy(group).agg(F.min_by(vector, order).alias("v")).orderBy(group).limit(k).collect()
+    return [[float(x) for x in r["v"]] for r in rows]
+
+
+def cosine_max(vector: str | Column, references: Sequence[Sequence[float]], digits: int = 4) -> Column:
+    """Largest cosine over the references, rounded; 0 without a vector."""
+    if len(references) > MAX_REFERENCES:
+        raise ValueError("too many reference vectors for literals")
+    v = F.transform(col(vector), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    cosines = []
+    for ref in references:
+        length = math.sqrt(math.fsum(x * x for x in ref))
+        unit = F.lit([x / length for x in ref])
+        products = F.zip_with(v, unit, lambda a, b: a * b)
+        cosines.append(F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(norm, F.lit(0.0)))
+    best = F.greatest(*cosines) if len(cosines) > 1 else cosines[0]
+    return F.coalesce(F.round(best, digits), F.lit(0.0))
+
+
+def semantic_filter_score(vector: str | Column, reference: Sequence[float] | None) -> Column:
+    """Cosine against one finance reference; 1 when the filter is off, 0.5 without a vector."""
+    if reference is None:
+        return F.lit(1.0)
+    return F.when(col(vector).isNull(), F.lit(0.5)).otherwise(cosine_max(vector, [reference], 12))
