@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.plans import news_queries, portfolio_queries, series_queries  # noqa: F401
+from tickerloom.plans import market_queries, news_queries, portfolio_queries, series_queries  # noqa: F401
 from tickerloom.plans.registry import ORACLE, QUERIES, Query
 
 

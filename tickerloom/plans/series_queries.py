@@ -189,7 +189,7 @@ def ema_crossover(spark: SparkSession, sf: str) -> DataFrame:
     return _indicators(spark, sf, ("ema_crossover",), ("ema_crossover",))
 
 
-@register(f"""WITH RECURSIVE {EOD}, {_ema_steps((12, 26))},
+_MACD = """
 line AS (SELECT symbol, date, i, CASE WHEN i >= 25 THEN e12 - e26 END AS line FROM emas),
 sig AS (
   SELECT symbol, date, i, line, CAST(0 AS DOUBLE) AS s FROM line WHERE i = 24
@@ -200,7 +200,10 @@ sig AS (
 j AS (SELECT line.symbol, line.date, line.i, line.line, CASE WHEN line.i >= 25 THEN sig.s END AS s
       FROM line LEFT JOIN sig ON line.symbol = sig.symbol AND line.i = sig.i),
 k AS (SELECT *, lag(line) OVER w AS pl, lag(s) OVER w AS ps FROM j
-      WINDOW w AS (PARTITION BY symbol ORDER BY i))
+      WINDOW w AS (PARTITION BY symbol ORDER BY i))"""
+
+
+@register(f"""WITH RECURSIVE {EOD}, {_ema_steps((12, 26))}, {_MACD}
 SELECT symbol, CAST(date AS VARCHAR) AS date, round(line, 4) AS macd_line, round(s, 4) AS macd_signal,
        round(line - s, 4) AS macd_histogram, coalesce(line > s AND pl <= ps, FALSE) AS macd_bullish_cross
 FROM k""")
@@ -220,13 +223,13 @@ def _rsi_steps(periods: tuple[int, ...]) -> str:
     values = ", ".join(
         f"CASE WHEN al{p} = 0 THEN 100 ELSE 100 - 100 / (1 + ag{p} / al{p}) END AS rsi{p}" for p in periods)
     return f"""
-seeds AS (SELECT symbol, {seeds} FROM bars GROUP BY symbol),
-src AS (SELECT bars.symbol, bars.date, bars.i, bars.close - bars.pc AS ch,
-        {', '.join(f'g{p}, l{p}' for p in periods)} FROM bars JOIN seeds ON bars.symbol = seeds.symbol),
+rseeds AS (SELECT symbol, {seeds} FROM bars GROUP BY symbol),
+rsrc AS (SELECT bars.symbol, bars.date, bars.i, bars.close - bars.pc AS ch,
+        {', '.join(f'g{p}, l{p}' for p in periods)} FROM bars JOIN rseeds ON bars.symbol = rseeds.symbol),
 walk AS (
-  SELECT b.symbol, b.date, b.i, {base} FROM src b WHERE b.i = 0
+  SELECT b.symbol, b.date, b.i, {base} FROM rsrc b WHERE b.i = 0
   UNION ALL
-  SELECT b.symbol, b.date, b.i, {step} FROM walk w JOIN src b ON b.symbol = w.symbol AND b.i = w.i + 1
+  SELECT b.symbol, b.date, b.i, {step} FROM walk w JOIN rsrc b ON b.symbol = w.symbol AND b.i = w.i + 1
 ),
 rsis AS (SELECT symbol, date, i, {values} FROM walk)"""
 
@@ -246,3 +249,132 @@ SELECT symbol, CAST(date AS VARCHAR) AS date,
          AS stoch_rsi FROM f""")
 def stoch_rsi(spark: SparkSession, sf: str) -> DataFrame:
     return _indicators(spark, sf, ("stoch_rsi",), ("stoch_rsi",))
+
+
+_WEEKLY = f"""{EOD.split("bars AS (")[0]}
+weeks AS (
+  SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS date, arg_min(open, date) AS open, max(high) AS high,
+         min(low) AS low, arg_max(close, date) AS close, CAST(sum(volume) AS BIGINT) AS volume
+  FROM eod GROUP BY symbol, date_trunc('week', date)
+),
+bars AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i,
+         lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM weeks
+)"""
+
+
+@register(f"""WITH {_WEEKLY},
+m AS (SELECT *, {_mean(20)} AS sma20,
+      CASE WHEN i >= 19 THEN stddev_pop(close) OVER (PARTITION BY symbol ORDER BY i
+        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sg,
+      greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
+      sum((high + low + close) / 3 * volume) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)
+        / sum(volume) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS vw FROM bars)
+SELECT symbol, CAST(date AS VARCHAR) AS date, open, high, low, close, volume, round(sma20, 4) AS sma20,
+       round(sma20 + 2 * sg, 4) AS bb_upper, round(sma20 - 2 * sg, 4) AS bb_lower,
+       round({_mean(14, 'tr')}, 4) AS atr14, round(vw, 4) AS vwap
+FROM m""")
+def weekly_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly bars with a moving average, bands, true range and VWAP per symbol."""
+    weekly = stored(B.resample(V.eod(spark, sf), "1wk"), "weekly")
+    full = I.enrich(weekly, ("sma", "bands", "atr", "vwap"), sma_periods=(20,))
+    shown = ("sma20", "bb_upper", "bb_lower", "atr14", "vwap")
+    rows = full.withColumns({c: F.round(c, 4) for c in shown})
+    return _dated(rows.select("symbol", "date", "open", "high", "low", "close", "volume", *shown))
+
+
+_ALL = f"""{EOD.split("bars AS (")[0]}
+parts AS (
+  SELECT '1d' AS interval, symbol AS sym, date, open, high, low, close, volume FROM eod
+  UNION ALL
+  SELECT '1wk', symbol, CAST(date_trunc('week', date) AS DATE), arg_min(open, date), max(high), min(low),
+         arg_max(close, date), CAST(sum(volume) AS BIGINT) FROM eod GROUP BY symbol, date_trunc('week', date)
+  UNION ALL
+  SELECT '1mo', symbol, CAST(date_trunc('month', date) AS DATE), arg_min(open, date), max(high), min(low),
+         arg_max(close, date), CAST(sum(volume) AS BIGINT) FROM eod GROUP BY symbol, date_trunc('month', date)
+),
+bars AS (
+  SELECT *, interval || ':' || sym AS symbol,
+         row_number() OVER (PARTITION BY interval, sym ORDER BY date) - 1 AS i,
+         lag(close) OVER (PARTITION BY interval, sym ORDER BY date) AS pc FROM parts
+)"""
+
+
+@register(f"""WITH RECURSIVE {_ALL}, {_ema_steps((9, 12, 26, 50))}, {_rsi_steps((14, 9))}, {_MACD},
+m AS (SELECT *, {_mean(20)} AS sma20, {_mean(50)} AS sma50, {_mean(200)} AS sma200,
+      CASE WHEN i >= 19 THEN stddev_pop(close) OVER (PARTITION BY symbol ORDER BY i
+        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sg,
+      greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
+      {_mean(20, 'volume')} AS av FROM bars),
+e AS (SELECT *, lag(e12) OVER w AS p12, lag(e26) OVER w AS p26 FROM emas
+      WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+f AS (SELECT *, min(rsi14) OVER w AS lo, max(rsi14) OVER w AS hi, count(rsi14) OVER w AS n FROM rsis
+      WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+SELECT m.interval, m.sym AS symbol, CAST(m.date AS VARCHAR) AS date, m.close,
+       round(coalesce((m.close - m.pc) / m.pc * 100, 0), 4) AS price_change_pct,
+       round(sma20, 4) AS sma20, round(sma50, 4) AS sma50, round(sma200, 4) AS sma200,
+       round(e9, 4) AS ema9, round(e12, 4) AS ema12, round(e26, 4) AS ema26, round(e50, 4) AS ema50,
+       CASE WHEN p12 <= p26 AND e12 > e26 THEN 'bullish' WHEN p12 >= p26 AND e12 < e26 THEN 'bearish' END
+         AS ema_crossover,
+       round(rsi14, 4) AS rsi14, round(rsi9, 4) AS rsi9,
+       CASE WHEN n = 14 THEN CASE WHEN hi = lo THEN 0 ELSE round((rsi14 - lo) / (hi - lo) * 100, 4) END END AS stoch_rsi,
+       round(line, 4) AS macd_line, round(s, 4) AS macd_signal,
+       coalesce(line > s AND pl <= ps, FALSE) AS macd_bullish_cross,
+       round(sma20 + 2 * sg, 4) AS bb_upper, round(sma20 - 2 * sg, 4) AS bb_lower,
+       round({_mean(14, 'tr').replace('symbol', 'm.symbol').replace(' i ', ' m.i ')}, 4) AS atr14,
+       m.volume > 2 * av AS volume_spike
+FROM m JOIN e ON m.symbol = e.symbol AND m.i = e.i JOIN f ON m.symbol = f.symbol AND m.i = f.i
+  JOIN k ON m.symbol = k.symbol AND m.i = k.i""")
+def price_history(spark: SparkSession, sf: str) -> DataFrame:
+    """All indicators for daily, weekly and monthly bars in one pass."""
+    bars = B.all_intervals(_daily(spark, sf))
+    full = I.enrich(bars, [f for f in I.FEATURES if f not in ("vwap", "volatility")], keys=("interval", "symbol"))
+    columns = ("price_change_pct", "sma20", "sma50", "sma200", "ema9", "ema12", "ema26", "ema50", "ema_crossover",
+               "rsi14", "rsi9", "stoch_rsi", "macd_line", "macd_signal", "macd_bullish_cross", "bb_upper",
+               "bb_lower", "atr14", "volume_spike")
+    types = dict(full.dtypes)
+    rows = full.select("interval", "symbol", "date", "close", *[
+        F.round(c, 4).alias(c) if types[c] == "double" else F.col(c) for c in columns])
+    return _dated(rows)
+
+
+# The 'ta' dialect: averages start at the first value.
+TA = f"""{EOD},
+x AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
+             coalesce(greatest(close - pc, 0), 0) AS g, coalesce(greatest(pc - close, 0), 0) AS l,
+             {_mean(20)} AS sma20, {_mean(50)} AS sma50, {_mean(200)} AS sma200,
+             CASE WHEN i >= 19 THEN stddev_pop(close) OVER (PARTITION BY symbol ORDER BY i
+               ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sg,
+             {_mean(20, 'volume')} AS av, close / pc - 1 AS ret FROM bars),
+y AS (SELECT *, {_mean(14, 'tr')} AS atr_seed,
+             CASE WHEN i >= 20 THEN stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY i
+               ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS vol FROM x),
+tw AS (
+  SELECT symbol, i, close AS e12, close AS e26, CAST(NULL AS DOUBLE) AS sig, CAST(0 AS DOUBLE) AS ag,
+         CAST(0 AS DOUBLE) AS al, CAST(NULL AS DOUBLE) AS atr FROM y WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, e12, e26, CASE WHEN i = 25 THEN e12 - e26 WHEN i > 25 THEN (e12 - e26) * 0.2 + sig * 0.8 END,
+         ag, al, atr
+  FROM (SELECT y.symbol, y.i, y.close * {2 / 13!r} + tw.e12 * {1 - 2 / 13!r} AS e12,
+               y.close * {2 / 27!r} + tw.e26 * {1 - 2 / 27!r} AS e26, tw.sig,
+               (tw.ag * 13 + y.g) / 14 AS ag, (tw.al * 13 + y.l) / 14 AS al,
+               CASE WHEN y.i = 13 THEN y.atr_seed WHEN y.i > 13 THEN (tw.atr * 13 + y.tr) / 14 END AS atr
+        FROM tw JOIN y ON y.symbol = tw.symbol AND y.i = tw.i + 1)
+),
+snap AS (
+  SELECT y.symbol, y.date, round(close, 2) AS current_price,
+         round(CASE WHEN y.i < 13 THEN 0 WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END, 2) AS rsi,
+         round(CASE WHEN y.i < 25 THEN 0 ELSE e12 - e26 END, 2) AS macd,
+         round(CASE WHEN y.i < 33 THEN 0 ELSE sig END, 2) AS macd_signal,
+         round(coalesce(sma20, 0), 2) AS sma_20, round(coalesce(sma50, 0), 2) AS sma_50,
+         round(coalesce(sma200, 0), 2) AS sma_200, round(coalesce(sma20 + 2 * sg, 0), 2) AS bb_high,
+         round(coalesce(sma20 - 2 * sg, 0), 2) AS bb_low, round(coalesce(atr, 0), 2) AS atr,
+         round(coalesce(vol, 0), 4) AS volatility, coalesce(volume > 2 * av, FALSE) AS volume_spike
+  FROM y JOIN tw ON y.symbol = tw.symbol AND y.i = tw.i
+  QUALIFY row_number() OVER (PARTITION BY y.symbol ORDER BY y.date DESC) = 1
+)"""
+
+
+@register(f"WITH RECURSIVE {TA} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM snap")
+def latest_technicals(spark: SparkSession, sf: str) -> DataFrame:
+    return _dated(I.latest_snapshot(_daily(spark, sf)))
