@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tickerloom.plans import market_queries, news_queries, portfolio_queries, series_queries  # noqa: F401
+from tickerloom.plans import (  # noqa: F401
+    forecast_queries,
+    market_queries,
+    news_queries,
+    portfolio_queries,
+    series_queries,
+    stream_queries,
+)
 from tickerloom.plans.registry import ORACLE, QUERIES, Query
 
 

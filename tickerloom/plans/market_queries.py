@@ -153,8 +153,7 @@ c AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][\\w+.-]*:') THEN href
 
 
 @register(f"""WITH {ANCHORS}
-SELECT page_id, pos, href, link, title FROM c
-WHERE href <> '' AND title <> '' QUALIFY pos >= 0 AND row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 50""")
+SELECT page_id, pos, href, link, title FROM c WHERE href <> '' AND title <> '' AND pos < 50""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     rule = P.LinkRule("site", cap=50)
     rows = P.extract_links(V.table(spark, sf, "pages"), rule)
@@ -221,11 +220,11 @@ def quote_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"""WITH {EOD}
 SELECT date_part('year', date) AS page_id, symbol, symbol || ' Corp' AS name, close AS current_price, volume * 1e6 AS volume,
-       round(close - open, 2) AS change, close >= open OR round(close - open, 2) = 0 AS is_up FROM eod""")
+       close - open AS change, close >= open AS is_up FROM eod""")
 def active_table(spark: SparkSession, sf: str) -> DataFrame:
     """A listing page per symbol and year with one table row per bar, parsed back."""
     cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
-    change = F.format_string("%+,.2f", F.round(F.col("close") - F.col("open"), 2))
+    change = F.col("close") - F.col("open")
     line = F.concat(
         F.lit("<tr>"), cell(F.col("symbol")), cell(F.concat("symbol", F.lit(" Corp"))), cell(F.lit("")),
         cell(F.concat(F.col("close").cast("string"), F.lit(" +x"))), cell(change), cell(F.lit("0%")),
