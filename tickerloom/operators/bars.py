@@ -43,11 +43,15 @@ def clean_candles(raw: DataFrame, asof: Column | None = None, days: int | None =
 def bars_from_ticks(
     ticks: DataFrame, unit: str, order: Sequence[str], keys: Sequence[str] = ("symbol",), ts: str = "ts"
 ) -> DataFrame:
-    """Open/high/low/close/volume bars; partial aggregates do most work before the shuffle."""
+    """Open/high/low/close/volume bars; partial aggregates do most work before the shuffle.
+
+    ``order`` must be unique within a bar.  A single number, such as a tick sequence,
+    lets the aggregate run in a hash map; several columns make it sort.
+    """
     start = F.date_trunc(unit, F.col(ts))
     if unit in ("day", "week", "month"):
         start = start.cast("date")
-    at = F.struct(*order)
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
     return ticks.groupBy(*keys, start.alias("date")).agg(
         F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),

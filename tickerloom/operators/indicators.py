@@ -25,6 +25,9 @@ ATR_PERIOD = 14
 SPIKE_PERIOD, SPIKE_FACTOR = 20, 2.0
 VOLATILITY_PERIOD = 20
 
+# Means over at least this many rows use running sums.
+LONG_PERIOD = 40
+
 # Rows after which a 9-row signal average has forgotten its start (0.8 ** 240 < 1e-23).
 SIGNAL_HALO = 240
 
@@ -52,9 +55,19 @@ def index_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), chunk_days: i
     ).drop("_chunk")
 
 
-def _mean(column: str, period: int, w: WindowSpec, first: int = 0) -> Column:
-    frame = w.rowsBetween(-(period - 1), 0)
-    return F.when(F.col("idx") >= first + period - 1, F.avg(column).over(frame))
+def _mean(column: str, period: int, w: WindowSpec) -> Column:
+    """Mean of the last ``period`` rows.
+
+    A sliding frame adds ``period`` values per row.  Longer means are differences of
+    the block's running sum, which costs the same for any period; the sum restarts
+    with each block, so its rounding error stays near 1e-13 of the value.
+    """
+    if period < LONG_PERIOD:
+        mean = F.avg(column).over(w.rowsBetween(-(period - 1), 0))
+    else:
+        running = F.col(f"_run_{column}")
+        mean = (running - F.coalesce(F.lag(running, period).over(w), F.lit(0.0))) / period
+    return F.when(F.col("idx") >= period - 1, mean)
 
 
 def _recurrences(wanted: set[str], dialect: str, ema_periods: Sequence[int],
@@ -139,6 +152,10 @@ def enrich(
     w = Window.partitionBy(*keys, "block").orderBy("idx")
     idx = F.col("idx")
 
+    if "sma" in wanted and max(sma_periods) >= LONG_PERIOD:
+        running = F.sum("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("_run_close", running)
+
     # Recurrences and plain frames first, then what builds on them.
     stage: dict[str, Column] = {r.name: rec.scan(r, w, size, halo) for r in recs}
     if "sma" in wanted:

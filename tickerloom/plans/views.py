@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.operators.bars import bars_from_ticks
+from tickerloom.plans.stored import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -140,7 +141,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles; the whole text is the summary."""
     doc = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         doc.alias("id"),
         F.concat(F.lit("T"), doc % 25).alias("ticker"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Window passes cost far more time than bytes; do not merge them into few tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join side even when the split costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
