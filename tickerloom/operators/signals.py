@@ -40,9 +40,9 @@ def daily_signals(articles: DataFrame, digits: int | None = 4) -> DataFrame:
     return rows.withColumn("daily_signal_label", label)
 
 
-def company_signals(articles: DataFrame, digits: int | None = 4) -> DataFrame:
+def company_signals(articles: DataFrame, digits: int | None = 4, polarity_digits: int = 4) -> DataFrame:
     """One row per ticker over all dates; each polarity is rounded before the mean."""
-    polarity = F.col("polarity") if digits is None else F.round("polarity", digits)
+    polarity = F.round("polarity", polarity_digits)
     rows = articles.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("total_signals"), *_means(digits, polarity), *_counts())
     label = five_way_label("avg_sentiment_polarity", "avg_semantic_impact", "regulation_count")

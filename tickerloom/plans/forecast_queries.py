@@ -46,13 +46,13 @@ _LIST = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in S.FEATURES) + "]"
 
 
 @register(f"""WITH {FEATURES}
-SELECT ticker, CAST(date AS VARCHAR) AS date, total_signals, round(avg_sentiment_polarity, 8) AS avg_sentiment_polarity,
-       round(avg_semantic_impact, 8) AS avg_semantic_impact,
+SELECT ticker, CAST(date AS VARCHAR) AS date, total_signals, round(avg_sentiment_polarity, 10) AS avg_sentiment_polarity,
+       round(avg_semantic_impact, 10) AS avg_semantic_impact,
        {', '.join(f'{b}_count' for b in fixed.SIGNAL_BUCKETS)}, label FROM feat""")
 def daily_features(spark: SparkSession, sf: str) -> DataFrame:
     means = ("avg_sentiment_polarity", "avg_semantic_impact")
     rows = _features(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
-    return rows.withColumns({c: F.round(c, 8) for c in means})
+    return rows.withColumns({c: F.round(c, 10) for c in means})
 
 
 _W = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
@@ -86,10 +86,10 @@ def scaled_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"""WITH {FEATURES},
 mx AS (SELECT ticker, {_MAX} FROM feat GROUP BY 1)
-SELECT ticker, {', '.join(f'round(max_{c}, 8) AS max_{c}' for c in S.FEATURES)} FROM mx""")
+SELECT ticker, {', '.join(f'round(max_{c}, 10) AS max_{c}' for c in S.FEATURES)} FROM mx""")
 def feature_maxima(spark: SparkSession, sf: str) -> DataFrame:
     rows = FC.feature_maxima(_features(spark, sf))
-    return rows.select("ticker", *[F.round(f"max_{c}", 8).alias(f"max_{c}") for c in S.FEATURES])
+    return rows.select("ticker", *[F.round(f"max_{c}", 10).alias(f"max_{c}") for c in S.FEATURES])
 
 
 @register(f"""WITH {FEATURES},
@@ -141,9 +141,9 @@ def forecast_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EVAL = f"""{FALLBACK},
-sig AS (SELECT ticker, avg(round(polarity, 8)) AS s, avg(semantic) AS i,
+sig AS (SELECT ticker, avg(round(polarity, 4)) AS s, avg(semantic) AS i,
                count(*) FILTER (category = 'regulation') AS r FROM art GROUP BY 1),
-ev AS (SELECT ticker, {sql_five('round(s, 8)', 'round(i, 8)', 'r')} AS ground_truth,
+ev AS (SELECT ticker, {sql_five('round(s, 10)', 'round(i, 10)', 'r')} AS ground_truth,
               CASE WHEN bull >= neutral AND bull >= bear THEN 0 WHEN neutral >= bear THEN 1 ELSE 2 END AS y_pred
        FROM sig JOIN forecast USING (ticker)
        QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date) = 1),
@@ -154,7 +154,7 @@ ev2 AS (SELECT *, {_INDEX('ground_truth')} AS y_true FROM ev)"""
 SELECT ticker, ground_truth, y_true, y_pred, ['Bullish', 'Neutral', 'Bearish'][y_pred + 1] AS predicted_class,
        y_true = y_pred AS correct FROM ev2""")
 def forecast_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    signals = S.company_signals(_signal_articles(spark, sf), digits=8)
+    signals = S.company_signals(_signal_articles(spark, sf), digits=10)
     return S.evaluate_forecast(signals, _fallback(spark, sf)).drop("bull", "neutral", "bear")
 
 
@@ -191,15 +191,15 @@ def ranked_news_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {NEWS}, {SIGNAL},
-d AS (SELECT ticker, count(*) AS total_signals, round(avg(round(polarity, 8)), 8) AS avg_sentiment_polarity,
-             round(avg(semantic), 8) AS avg_semantic_impact, {_BUCKETS} FROM art GROUP BY 1)
+d AS (SELECT ticker, count(*) AS total_signals, round(avg(round(polarity, 4)), 10) AS avg_sentiment_polarity,
+             round(avg(semantic), 10) AS avg_semantic_impact, {_BUCKETS} FROM art GROUP BY 1)
 SELECT ticker, total_signals, avg_sentiment_polarity, avg_semantic_impact, earnings_count, analyst_count,
        regulation_count, {sql_five('avg_sentiment_polarity', 'avg_semantic_impact', 'regulation_count')}
        AS daily_signal_label FROM d""")
 def signals_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Company signals written to CSV and read back."""
     path = shared_dir(spark, "signals")
-    rows = S.company_signals(_signal_articles(spark, sf), digits=8)
+    rows = S.company_signals(_signal_articles(spark, sf), digits=10)
     sinks.write_signals_csv(rows, path)
     return sinks.read_signals_csv(
         spark, path, "ticker string, total_signals bigint, avg_sentiment_polarity double, avg_semantic_impact double, "

@@ -318,10 +318,10 @@ pol AS (SELECT news.id, coalesce(p, 0) AS polarity FROM news LEFT JOIN
         (SELECT id, avg(polarity) AS p FROM tok JOIN lex USING (word) GROUP BY id) x ON news.id = x.id)"""
 
 
-@register(f"WITH {NEWS}, {sql_polarity('summary')} SELECT id, round(polarity, 8) AS polarity FROM pol")
+@register(f"WITH {NEWS}, {sql_polarity('summary')} SELECT id, round(polarity, 10) AS polarity FROM pol")
 def sentiment_polarity(spark: SparkSession, sf: str) -> DataFrame:
     rows = N.with_polarity(V.news(spark, sf), lexicon(spark))
-    return rows.select("id", F.round("polarity", 8).alias("polarity"))
+    return rows.select("id", F.round("polarity", 10).alias("polarity"))
 
 
 @register(f"""WITH {NEWS}, {sql_polarity('title')}
@@ -353,24 +353,24 @@ def sql_five(s: str, i: str, r: str) -> str:
 
 @register(f"""WITH {NEWS}, {SIGNAL},
 d AS (SELECT ticker, CAST(date AS VARCHAR) AS date, count(*) AS total_signals,
-             round(avg(polarity), 8) AS avg_sentiment_polarity, round(avg(semantic), 8) AS avg_semantic_impact,
+             round(avg(polarity), 10) AS avg_sentiment_polarity, round(avg(semantic), 10) AS avg_semantic_impact,
              {_BUCKETS} FROM art GROUP BY 1, 2)
 SELECT *, CASE WHEN avg_sentiment_polarity > 0.05 AND avg_semantic_impact > 0.25 THEN 'Bullish'
                WHEN avg_sentiment_polarity < -0.05 OR regulation_count >= 2 THEN 'Bearish' ELSE 'Neutral' END
             AS daily_signal_label FROM d""")
 def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.daily_signals(_signal_articles(spark, sf), digits=8)
+    rows = S.daily_signals(_signal_articles(spark, sf), digits=10)
     return rows.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 @register(f"""WITH {NEWS}, {SIGNAL},
-d AS (SELECT ticker, count(*) AS total_signals, round(avg(round(polarity, 8)), 8) AS avg_sentiment_polarity,
-             round(avg(semantic), 8) AS avg_semantic_impact, {_BUCKETS} FROM art GROUP BY 1)
+d AS (SELECT ticker, count(*) AS total_signals, round(avg(round(polarity, 4)), 10) AS avg_sentiment_polarity,
+             round(avg(semantic), 10) AS avg_semantic_impact, {_BUCKETS} FROM art GROUP BY 1)
 SELECT ticker, total_signals, avg_sentiment_polarity, avg_semantic_impact, earnings_count, analyst_count,
        regulation_count, {sql_five('avg_sentiment_polarity', 'avg_semantic_impact', 'regulation_count')}
        AS daily_signal_label FROM d""")
 def company_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return S.company_signals(_signal_articles(spark, sf), digits=8)
+    return S.company_signals(_signal_articles(spark, sf), digits=10)
 
 
 @register(f"""WITH {NEWS}, {SIGNAL},
@@ -454,16 +454,16 @@ rep AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
 
 
 @register(f"""WITH {_REPORT}
-SELECT label, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1, support, hits
+SELECT label, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1, support, hits
 FROM rep""")
 def class_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.class_report(S.confusion_matrix(_truth(spark, sf)))
-    return rows.withColumns({c: F.round(c, 8) for c in ("precision", "recall", "f1")})
+    return rows.withColumns({c: F.round(c, 10) for c in ("precision", "recall", "f1")})
 
 
 @register(f"""WITH {_REPORT}
-SELECT round(sum(hits) / sum(support), 8) AS accuracy, round(avg(precision), 8) AS precision_macro,
-       round(avg(recall), 8) AS recall_macro, round(avg(f1), 8) AS f1_macro FROM rep""")
+SELECT round(sum(hits) / sum(support), 10) AS accuracy, round(avg(precision), 10) AS precision_macro,
+       round(avg(recall), 10) AS recall_macro, round(avg(f1), 10) AS f1_macro FROM rep""")
 def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.classification_metrics(S.confusion_matrix(_truth(spark, sf)))
-    return rows.select(*[F.round(c, 8).alias(c) for c in rows.columns])
+    return rows.select(*[F.round(c, 10).alias(c) for c in rows.columns])

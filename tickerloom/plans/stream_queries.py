@@ -82,7 +82,7 @@ def stream_watchlist(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"""WITH {NEWS}, {SIGNAL}
 SELECT ticker, CAST(date AS VARCHAR) AS date, count(*) AS total_signals,
-       round(avg(polarity), 8) AS avg_sentiment_polarity, round(avg(semantic), 8) AS avg_semantic_impact, {_BUCKETS}
+       round(avg(polarity), 10) AS avg_sentiment_polarity, round(avg(semantic), 10) AS avg_semantic_impact, {_BUCKETS}
 FROM art GROUP BY 1, 2""")
 def stream_daily_signals(spark: SparkSession, sf: str) -> DataFrame:
     articles = _signal_articles(spark, sf).withColumn("published", F.col("date").cast("timestamp")).drop("date")
@@ -91,7 +91,7 @@ def stream_daily_signals(spark: SparkSession, sf: str) -> DataFrame:
     live.run_available(rows, path)
     out = live.read_latest(spark, f"{path}/log", ["ticker", "date"], rows.schema)
     means = ("avg_sentiment_polarity", "avg_semantic_impact")
-    return out.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), **{c: F.round(c, 8) for c in means}})
+    return out.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), **{c: F.round(c, 10) for c in means}})
 
 
 @register("""
