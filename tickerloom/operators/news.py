@@ -125,8 +125,9 @@ def rank_articles(df: DataFrame, group: Sequence[str], score: str = "semantic_sc
                   name: str = "rank") -> DataFrame:
     """Position of every article in its group by score descending, then input order.
 
-    Counted per (group, score, id range) first, so a group with a third of all
-    rows, or a score shared by most of them, is still numbered by many tasks.
+    Counted per score, then per id range within a score, so a group with a third
+    of all rows, or a score shared by most of them, is still numbered by many tasks.
+    The score must have few distinct values; similarities have four decimals.
     """
     span = F.floor(F.col(ordinal) / ID_RANGE)
     out = number_rows(

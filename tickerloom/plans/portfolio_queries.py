@@ -51,6 +51,7 @@ walk AS (
   FROM (
     SELECT *, reason IS NULL AS ok FROM (
       SELECT *, CASE
+        WHEN q = 0 OR p = 0 THEN 'missing_field'
         WHEN side IN ('BUY', 'SHORT') AND bal < q * p THEN 'insufficient_funds'
         WHEN side = 'BUY' AND h < 0 OR side = 'SHORT' AND h > 0 THEN 'opposite_position'
         WHEN side = 'SELL' AND h <= 0 OR side = 'COVER' AND h >= 0 THEN 'no_position'
@@ -77,23 +78,22 @@ pos AS (
   UNION ALL SELECT user_id, 'S2', h2, a2 FROM last
 )
 SELECT user_id, symbol, CASE WHEN h < 0 THEN 'SHORT' ELSE 'LONG' END AS side, abs(h) AS quantity,
-       round(a, 6) AS avg_cost FROM pos WHERE h <> 0""")
+       a AS avg_cost FROM pos WHERE h <> 0""")
 def ledger_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return L.open_positions(_ledger(spark, sf)).withColumn("avg_cost", F.round("avg_cost", 6))
+    return L.open_positions(_ledger(spark, sf))
 
 
 _LEDGER_ROWS = f"""WITH RECURSIVE {LEDGER}
-SELECT walk.user_id, walk.trade_id, symbol, side, q AS quantity, p AS price, round(q * p, 4) AS total_cost,
+SELECT walk.user_id, walk.trade_id, symbol, side, q AS quantity, p AS price, q * p AS total_cost,
        CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'REJECTED' END AS status, reason AS reject_reason,
-       round(entry, 6) AS entry_price, round(pnl, 6) AS realized_pnl, round(bal, 6) AS balance_after
+       entry AS entry_price, pnl AS realized_pnl, bal AS balance_after
 FROM walk JOIN trades ON walk.trade_id = trades.trade_id"""
 
 
 def _ledger_rows(ledger: DataFrame) -> DataFrame:
     return ledger.filter(F.col("status") != "OPENING").select(
-        "user_id", "trade_id", "symbol", "side", "quantity", "price", F.round("total_cost", 4).alias("total_cost"),
-        "status", "reject_reason", F.round("entry_price", 6).alias("entry_price"),
-        F.round("realized_pnl", 6).alias("realized_pnl"), F.round("balance_after", 6).alias("balance_after"))
+        "user_id", "trade_id", "symbol", "side", "quantity", "price", "total_cost", "status", "reject_reason",
+        "entry_price", "realized_pnl", "balance_after")
 
 
 @register(_LEDGER_ROWS)
@@ -109,13 +109,13 @@ def ledger_by_period(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH RECURSIVE {LEDGER}
-SELECT walk.user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(pnl), 4) AS realized_pnl,
+SELECT walk.user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(pnl), 6) AS realized_pnl,
        count(*) AS exits
 FROM walk JOIN trades ON walk.trade_id = trades.trade_id WHERE pnl IS NOT NULL GROUP BY 1, 2""")
 def realized_pnl_by_day(spark: SparkSession, sf: str) -> DataFrame:
     rows = L.realized_pnl_by_day(_ledger(spark, sf))
     return rows.select("user_id", F.date_format("date", "yyyy-MM-dd").alias("date"),
-                       F.round("realized_pnl", 4).alias("realized_pnl"), "exits")
+                       F.round("realized_pnl", 6).alias("realized_pnl"), "exits")
 
 
 @register(f"""WITH RECURSIVE {LEDGER},
@@ -130,15 +130,15 @@ pos AS (
 pnl AS (SELECT user_id, sum(CASE WHEN h < 0 THEN (a - price) * abs(h) ELSE (price - a) * h END) AS u,
                sum(abs(h) * a) AS basis
         FROM pos JOIN px USING (symbol) WHERE h <> 0 GROUP BY user_id)
-SELECT user_id, round(bal, 4) AS balance, round(coalesce(u, 0), 4) AS unrealized_pnl,
-       round(bal + coalesce(u, 0), 4) AS equity, round(bal + coalesce(basis, 0) + coalesce(u, 0), 4) AS net_liquidation
+SELECT user_id, bal AS balance, round(coalesce(u, 0), 6) AS unrealized_pnl,
+       round(bal + coalesce(u, 0), 6) AS equity, round(bal + coalesce(basis, 0) + coalesce(u, 0), 6) AS net_liquidation
 FROM last LEFT JOIN pnl USING (user_id)""")
 def ledger_equity(spark: SparkSession, sf: str) -> DataFrame:
     ledger = _ledger(spark, sf)
     metrics = P.position_metrics(P.with_quotes(L.open_positions(ledger), V.trade_quotes(spark, sf)))
     totals = P.portfolio_totals(L.balances(ledger), metrics)
-    money = ("balance", "unrealized_pnl", "equity", "net_liquidation")
-    return totals.withColumns({c: F.round(c, 4) for c in money})
+    money = ("unrealized_pnl", "equity", "net_liquidation")
+    return totals.withColumns({c: F.round(c, 6) for c in money})
 
 
 @register("""
@@ -213,14 +213,14 @@ t AS (SELECT user_id, sum(pnl) AS u, sum(quantity * avg_cost) AS basis FROM y GR
 s AS (SELECT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) AS equity
       FROM orders GROUP BY 1, 2),
 prev AS (SELECT user_id, arg_max(equity, d) AS pe FROM s WHERE d < DATE '2000-01-01' GROUP BY 1)
-SELECT c_custkey AS user_id, c_acctbal AS balance, round(c_acctbal + coalesce(u, 0), 2) AS equity,
-       round(coalesce(u, 0), 2) AS unrealized_pnl, round(coalesce(c_acctbal + coalesce(u, 0) - pe, 0), 2) AS day_pnl,
-       c_acctbal AS cash, round(c_acctbal + coalesce(basis, 0) + coalesce(u, 0), 2) AS net_liquidation
+SELECT c_custkey AS user_id, c_acctbal AS balance, round(c_acctbal + coalesce(u, 0), 4) AS equity,
+       round(coalesce(u, 0), 4) AS unrealized_pnl, round(coalesce(c_acctbal + coalesce(u, 0) - pe, 0), 4) AS day_pnl,
+       c_acctbal AS cash, round(c_acctbal + coalesce(basis, 0) + coalesce(u, 0), 4) AS net_liquidation
 FROM customer LEFT JOIN t ON c_custkey = t.user_id LEFT JOIN prev ON c_custkey = prev.user_id""")
 def portfolio_summary(spark: SparkSession, sf: str) -> DataFrame:
     totals = P.portfolio_totals(V.customer_users(spark, sf), _metrics(spark, sf))
     rows = P.portfolio_summary(totals, V.snapshots(spark, sf), F.lit("2000-01-01").cast("date"))
-    return rows.withColumns({c: F.round(c, 2) for c in ("equity", "unrealized_pnl", "day_pnl", "net_liquidation")})
+    return rows.withColumns({c: F.round(c, 4) for c in ("equity", "unrealized_pnl", "day_pnl", "net_liquidation")})
 
 
 @register(f"""WITH {HOLDINGS}, {_WATCH},
@@ -273,15 +273,15 @@ def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {HOLDINGS}, t AS (SELECT user_id, sum(pnl) AS u FROM y GROUP BY user_id)
-SELECT c_custkey AS user_id, '2000-01-01' AS date, round(c_acctbal + coalesce(u, 0), 2) AS equity,
-       c_acctbal AS balance, round(coalesce(u, 0), 2) AS unrealized_pnl, CAST(0 AS DOUBLE) AS realized_pnl
+SELECT c_custkey AS user_id, '2000-01-01' AS date, round(c_acctbal + coalesce(u, 0), 4) AS equity,
+       c_acctbal AS balance, round(coalesce(u, 0), 4) AS unrealized_pnl, CAST(0 AS DOUBLE) AS realized_pnl
 FROM customer LEFT JOIN t ON c_custkey = t.user_id""")
 def daily_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     totals = P.portfolio_totals(V.customer_users(spark, sf), _metrics(spark, sf))
     rows = P.daily_snapshot(totals, F.lit("2000-01-01").cast("date"))
     return rows.withColumns({
-        "date": F.date_format("date", "yyyy-MM-dd"), "equity": F.round("equity", 2),
-        "unrealized_pnl": F.round("unrealized_pnl", 2)})
+        "date": F.date_format("date", "yyyy-MM-dd"), "equity": F.round("equity", 4),
+        "unrealized_pnl": F.round("unrealized_pnl", 4)})
 
 
 @register("""

@@ -47,7 +47,7 @@ def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"""WITH RECURSIVE {LEDGER}
 SELECT walk.user_id, walk.trade_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'REJECTED' END AS status,
-       reason AS reject_reason, round(pnl, 6) AS realized_pnl, round(bal, 6) AS balance_after
+       reason AS reject_reason, pnl AS realized_pnl, bal AS balance_after
 FROM walk JOIN trades ON walk.trade_id = trades.trade_id""")
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
@@ -55,8 +55,7 @@ def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "stream-ledger")
     live.run_available(out, path, "append")
     rows = spark.read.schema(out.schema).parquet(f"{path}/table")
-    return rows.select("user_id", "trade_id", "status", "reject_reason", F.round("realized_pnl", 6).alias("realized_pnl"),
-                       F.round("balance_after", 6).alias("balance_after"))
+    return rows.select("user_id", "trade_id", "status", "reject_reason", "realized_pnl", "balance_after")
 
 
 @register(f"WITH {NEWS} SELECT DISTINCT {TITLE_KEY} AS title_key FROM news")
