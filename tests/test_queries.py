@@ -29,6 +29,8 @@ def normal(columns, rows):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = normal(df.columns, df.collect())
     if name not in ORACLE:
         assert got[1]

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import labels
 from tickerloom.functions import numbers as num
-from tickerloom.functions.fixed_values import FALLBACK_SYMBOLS
+from tickerloom.functions.fixed_values import FALLBACK_SYMBOLS, TICKER_KEYWORDS
 from tickerloom.functions.text import clean_markup
 from tickerloom.operators import insights, market as M
 from tickerloom.operators import indicators as I
+from tickerloom.operators import news as N
 from tickerloom.operators import strategy
 from tickerloom.plans import views as V
+from tickerloom.plans.news_queries import COMPANIES, NEWS, companies, sql_any
 from tickerloom.plans.registry import register
 from tickerloom.plans.series_queries import EOD, TA
 from tickerloom.plans.stored import stored
@@ -191,6 +193,57 @@ def page_articles(spark: SparkSession, sf: str) -> DataFrame:
     return short.join(body, "page_id")
 
 
+_LETTERS = lambda c: _clean(f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}} ]', ' ', 'g')")
+
+
+@register(f"""WITH {COMPANIES},
+f AS (SELECT doc_id AS page_id, 'T' || (doc_id % 25) AS ticker, {_LETTERS("split_part(text, chr(10), 1)")} AS title,
+             {_LETTERS('text')} AS summary FROM documents)
+SELECT page_id, ticker, title, summary, 'https://example.com/n/' || page_id AS link FROM f JOIN companies USING (ticker)
+WHERE contains(lower(title || ' ' || summary), lower(ticker)) OR contains(lower(title || ' ' || summary), word)
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY page_id) <= 80""")
+def topic_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing page with one block per article; the first eighty matching blocks of each company."""
+    plain = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N} ]", " ")
+    html = F.concat(
+        F.lit('<div class="contentD"><h2><a href="/n/'), "id", F.lit('">'), plain("title"), F.lit("</a></h2><p>"),
+        plain("summary"), F.lit("</p></div>"))
+    pages = V.news(spark, sf).select(
+        F.col("id").alias("page_id"), F.lit("https://example.com/topic/x").alias("url"), html.alias("html"), "ticker",
+        F.col("ticker").alias("topic"), F.lit(0).alias("topic_idx"), F.col("id").alias("page"))
+    rows = P.extract_topic_blocks(pages, companies(spark, sf).select("ticker", "keywords"))
+    return rows.select("page_id", "ticker", "title", "summary", "link")
+
+
+_KEYWORDS = " ".join(
+    f"WHEN 'T{i}' THEN {sql_any(words)}" for i, words in enumerate(TICKER_KEYWORDS.values()))
+
+
+@register(f"""WITH {NEWS} SELECT id, ticker FROM txt WHERE CASE ticker {_KEYWORDS} ELSE FALSE END""")
+def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles with a keyword of their ticker; the dictionary's tickers are numbered like the given ones."""
+    words = spark.createDataFrame(
+        [(f"T{i}", w) for i, w in enumerate(TICKER_KEYWORDS.values())], "ticker string, keywords array<string>")
+    return N.keep_relevant(V.news(spark, sf), words).select("id", "ticker")
+
+
+@register(f"""WITH {COMPANIES},
+p AS (SELECT page_id, 'T' || (page_id % 25) AS ticker,
+             {_clean("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title,
+             array_to_string({_PARAS}, ' ') AS body FROM pages)
+SELECT page_id, ticker, title, substring(body, 1, 500) AS summary FROM p JOIN companies USING (ticker)
+WHERE title <> '' AND (contains(lower(title || ' ' || substring(body, 1, 300)), lower(ticker))
+                       OR contains(lower(title || ' ' || substring(body, 1, 300)), word))
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY page_id) <= 10""")
+def company_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """First ten article pages of each company with a keyword in title or opening."""
+    pages = V.table(spark, sf, "pages").withColumn("ticker", F.concat(F.lit("T"), F.col("page_id") % 25))
+    hits = P.matching_articles(
+        P.extract_articles(pages, whole_body=True).join(companies(spark, sf).select("ticker", "keywords"), "ticker"),
+        "keywords")
+    return N.cap_per_key(hits, "ticker", 10, [F.asc("page_id")]).select("page_id", "ticker", "title", "summary")
+
+
 def _quote_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One quote page per daily bar, built from the bar's own numbers."""
     bars = V.eod(spark, sf)

@@ -299,3 +299,26 @@ def trade_request_check(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("trade_id"), F.col("event_type").alias("symbol"), side.alias("side"),
         (k % 10).cast("double").alias("quantity"), F.col("value").alias("price"))
     return L.check_requests(requests).select("trade_id", "reject_reason")
+
+
+@register("SELECT c_custkey AS user_id, c_name AS name, c_acctbal AS balance FROM customer")
+def user_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    users = V.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"),
+        F.sha2("c_name", 256).alias("password_hash"))
+    return P.drop_credentials(users)
+
+
+@register("""WITH p AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 + 1 AS q, value
+              FROM events WHERE value > 0)
+SELECT user_id, count(*) AS buys, round(sum(q * value), 4) AS spent FROM p GROUP BY user_id""")
+def one_sided_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a buy request of a user with enough cash."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    requests = V.table(spark, sf, "events").select(
+        "user_id", F.col("event_id").alias("trade_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("S"), k % 3).alias("symbol"), (k % 10 + 1).cast("double").alias("quantity"),
+        F.col("value").alias("price"))
+    ledger = L.replay_trades(L.one_sided(requests, "BUY"), V.trade_users(spark, sf, 1e12))
+    return L.transactions(ledger).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("buys"), F.round(F.sum("total_cost"), 4).alias("spent"))

@@ -378,3 +378,34 @@ snap AS (
 @register(f"WITH RECURSIVE {TA} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM snap")
 def latest_technicals(spark: SparkSession, sf: str) -> DataFrame:
     return _dated(I.latest_snapshot(_daily(spark, sf)))
+
+
+@register(f"""WITH RECURSIVE {EOD}, {_ema_steps((12, 26))}, {_rsi_steps((14,)).replace(
+    "CASE WHEN al14 = 0 THEN 100 ELSE 100 - 100 / (1 + ag14 / al14) END",
+    "100 - 100 / (1 + ag14 / CASE WHEN al14 = 0 THEN 1 ELSE al14 END)")},
+line AS (SELECT symbol, date, i, e12 - e26 AS line FROM emas WHERE i >= 25),
+seed AS (SELECT symbol, avg(line) AS s FROM line WHERE i <= 33 GROUP BY symbol),
+sig AS (
+  SELECT line.symbol, line.i, seed.s FROM line JOIN seed ON line.symbol = seed.symbol WHERE i = 33
+  UNION ALL
+  SELECT l.symbol, l.i, l.line * 0.2 + w.s * 0.8 FROM sig w JOIN line l ON l.symbol = w.symbol AND l.i = w.i + 1
+)
+SELECT r.symbol, CAST(r.date AS VARCHAR) AS date, round(rsi14, 4) AS rsi14, round(line, 4) AS macd_line,
+       round(s, 4) AS macd_signal, round(line - s, 4) AS macd_histogram
+FROM rsis r LEFT JOIN line ON r.symbol = line.symbol AND r.i = line.i LEFT JOIN sig ON r.symbol = sig.symbol AND r.i = sig.i""")
+def utils_dialect(spark: SparkSession, sf: str) -> DataFrame:
+    """RSI and MACD with the seeded signal line."""
+    return _indicators(spark, sf, ("rsi", "macd"), ("rsi14", "macd_line", "macd_signal", "macd_histogram"),
+                       dialect="utils", rsi_periods=(14,))
+
+
+@register(f"""WITH RECURSIVE {TA}
+SELECT y.symbol, CAST(y.date AS VARCHAR) AS date,
+       CASE WHEN y.i >= 13 THEN round(CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END, 4) END AS rsi14,
+       CASE WHEN y.i >= 25 THEN round(e12 - e26, 4) END AS macd_line,
+       CASE WHEN y.i >= 33 THEN round(sig, 4) END AS macd_signal, round(atr, 4) AS atr14
+FROM y JOIN tw ON y.symbol = tw.symbol AND y.i = tw.i""")
+def ta_dialect(spark: SparkSession, sf: str) -> DataFrame:
+    """RSI, MACD and ATR with averages that start at the first value."""
+    return _indicators(spark, sf, ("rsi", "macd", "atr"), ("rsi14", "macd_line", "macd_signal", "atr14"),
+                       dialect="ta", rsi_periods=(14,))

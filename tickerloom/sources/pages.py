@@ -163,10 +163,14 @@ def extract_articles(pages: DataFrame, whole_body: bool = False) -> DataFrame:
         F.substring(body, 1, MATCH_CHARS).alias("head"))
 
 
-def matching_articles(articles: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """Articles with a title and a keyword in the title or the first body characters."""
+def matching_articles(articles: DataFrame, keywords: Sequence[str] | str) -> DataFrame:
+    """Articles with a title and a keyword in the title or the first body characters.
+
+    ``keywords`` is a list, or the name of an array column.
+    """
     text = F.lower(F.concat("title", F.lit(" "), "head"))
-    return articles.filter((F.col("title") != "") & any_keyword(text, keywords))
+    hit = T.contains_any(text, keywords) if isinstance(keywords, str) else any_keyword(text, keywords)
+    return articles.filter((F.col("title") != "") & hit)
 
 
 def extract_topic_blocks(pages: DataFrame, dictionary: DataFrame, cap: int = 80) -> DataFrame:
