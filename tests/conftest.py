@@ -11,8 +11,10 @@ from tickerloom.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", 8, **{
-        "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    s = build_session("tests", "local[8]", 4, **{
+        "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
+        # Tables of a few rows: compiling code takes longer than running it.
+        "spark.sql.codegen.wholeStage": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

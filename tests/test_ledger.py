@@ -56,6 +56,14 @@ def test_reject_reasons_and_their_order(spark):
     assert by[11]["balance_after"] is None and by[10]["balance_after"] == 90
 
 
+def test_absent_fields(spark):
+    rows = [(1, 1, T0, None, "BUY", 1.0, 1.0), (1, 2, T0, "A", "", 1.0, 1.0), (1, 3, T0, "A", "BUY", None, 1.0),
+            (1, 4, T0, "A", "BUY", 1.0, float("nan")), (1, 5, T0, "A", "BUY", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, TRADES)
+    by = {r["trade_id"]: r for r in L.replay_trades(df, users(spark, u1=10)).filter("status <> 'OPENING'").collect()}
+    assert [by[i]["reject_reason"] for i in range(1, 6)] == ["missing_field"] * 4 + [None] and by[5]["balance_after"] == 8
+
+
 def _random_rows(n=400, seed=1):
     rnd = random.Random(seed)
     # User 1 makes most of the trades.

@@ -33,12 +33,9 @@ _BALANCE, _POSITION, _TRADE = 0, 1, 2
 
 def check_requests(trades: DataFrame) -> DataFrame:
     """Add ``reject_reason``: a required field is absent or zero, or the side is unknown."""
-    missing = (
-        F.coalesce(F.col("symbol"), F.lit("")).eqNullSafe("")
-        | F.coalesce(F.col("side"), F.lit("")).eqNullSafe("")
-        | F.coalesce(F.col("quantity"), F.lit(0.0)).eqNullSafe(0.0)
-        | F.coalesce(F.col("price"), F.lit(0.0)).eqNullSafe(0.0)
-    )
+    no_text = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    no_number = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) == 0
+    missing = no_text("symbol") | no_text("side") | no_number("quantity") | no_number("price")
     return trades.withColumn(
         "reject_reason",
         F.when(missing, "missing_field").when(~F.col("side").isin(SIDES), "invalid_side"),

@@ -20,7 +20,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split an input of fewer pieces than cores before costly work on its rows.
+    """Split a scanned table of fewer pieces than cores before costly work on its rows.
 
     A small file is read by one task.  A large table has more splits than cores and
     is returned as it is, without a shuffle.

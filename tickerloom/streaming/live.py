@@ -35,6 +35,10 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", late: str = "1 day") ->
     return bars.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
+def _absent(number: float) -> bool:
+    return pd.isna(number) or number == 0
+
+
 class LedgerProcessor(StatefulProcessor):
     """Keeps one user's balance and positions; decides each trade as it arrives."""
 
@@ -57,7 +61,7 @@ class LedgerProcessor(StatefulProcessor):
         out = []
         for t in batch.itertuples(index=False):
             entry = pnl = None
-            if not t.symbol or not t.side or not t.quantity or not t.price:
+            if not t.symbol or not t.side or _absent(t.quantity) or _absent(t.price):
                 reason = "missing_field"
             elif t.side not in SIDES:
                 reason = "invalid_side"
