@@ -30,7 +30,7 @@ def normal(columns, rows):
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
     got = normal(df.columns, df.collect())
     if name not in ORACLE:
         assert got[1]

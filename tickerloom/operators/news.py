@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions import text as T
 from tickerloom.plans.blocks import number_rows
+from tickerloom.plans.stored import stored
 
-# Ids are numbered inside ranges of this many, so no rank window grows with the data.
+# Ids of a hot group are numbered inside ranges of this many, so no rank window grows with the data.
 ID_RANGE = 1 << 20
 
+# Groups of more rows than this are split before they are ranked.
+HOT_GROUP = 4_000_000
+
 
 def union_sources(*sources: DataFrame) -> DataFrame:
     """All sources under each other; ``source_ordinal`` keeps the order of the arguments."""
@@ -125,28 +130,37 @@ def rank_articles(df: DataFrame, group: Sequence[str], score: str = "semantic_sc
                   name: str = "rank") -> DataFrame:
     """Position of every article in its group by score descending, then input order.
 
-    Counted per score, then per id range within a score, so a group with a third
-    of all rows, or a score shared by most of them, is still numbered by many tasks.
-    The score must have few distinct values; similarities have four decimals.
+    Groups of more than ``HOT_GROUP`` rows are split by score and, within a score,
+    by id range, so a group with a third of all rows, or a score shared by most of
+    them, is numbered by many tasks.  Scores must have few distinct values;
+    similarities have four decimals.  ``df`` is read three times: pass a stored
+    table without texts and join them by id.
     """
-    span = F.floor(F.col(ordinal) / ID_RANGE)
+    # A listed group has more than HOT_GROUP rows, so the list is at most that part of the table.
+    hot = F.broadcast(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_GROUP).select(
+        *[F.col(g).alias(f"_h_{g}") for g in group], F.lit(True).alias("_hot")))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in group])
+    split = df.join(hot, same, "left").withColumns({
+        "_level": F.when(F.col("_hot"), F.col(score)),
+        "_span": F.when(F.col("_hot"), F.floor(F.col(ordinal) / ID_RANGE)),
+    }).select(*df.columns, "_level", "_span")
     out = number_rows(
-        df.withColumn("_span", span), group, [score, "_span"],
-        bucket_order=[F.desc(score), F.asc("_span")], row_order=[F.asc(ordinal)],
-        name=name, null_safe=True,
-    )
-    return out.withColumn(name, F.col(name) + 1).drop("_span")
+        split, group, ["_level", "_span"], bucket_order=[F.desc("_level"), F.asc("_span")],
+        row_order=[F.desc(score), F.asc(ordinal)], name=name, null_safe=True)
+    return out.withColumn(name, F.col(name) + 1).drop("_level", "_span")
 
 
 def group_by_category(df: DataFrame, rules: Mapping[str, Sequence[str]] = fixed.NOTE_CATEGORIES,
                       key: str = "ticker", ordinal: str = "id") -> DataFrame:
-    """Long form of the category lists: category, its place (General last) and the row's place in it."""
+    """Long form of the category lists: category, its place (General last) and the row's place in it.
+
+    Texts are matched once into a stored table of ids, which is then ranked.
+    """
     text = df.withColumn("_t", T.article_text())
-    named = text.withColumn("category", T.first_category("_t", rules)).drop("_t")
+    named = stored(text.select(key, ordinal, T.first_category("_t", rules).alias("category")), "categories")
     names = F.array(*[F.lit(c) for c in [*rules, "General"]])
     named = named.withColumn("category_place", F.array_position(names, F.col("category")).cast("int"))
-    named = named.withColumn("_same", F.lit(0))
-    return rank_articles(named, [key, "category"], "_same", ordinal, "place").drop("_same")
+    return rank_articles(named.withColumn("_same", F.lit(0)), [key, "category"], "_same", ordinal, "place").drop("_same")
 
 
 def note_context(df: DataFrame, rules: Mapping[str, Sequence[str]] = fixed.NOTE_CATEGORIES, per_category: int = 3,

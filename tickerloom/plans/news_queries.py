@@ -14,6 +14,7 @@ from tickerloom.operators import news as N
 from tickerloom.operators import signals as S
 from tickerloom.plans import views as V
 from tickerloom.plans.registry import register
+from tickerloom.plans.stored import stored
 
 # The given prose is invented and has few finance words, so these test dictionaries use its frequent fragments.
 FRAGMENTS = ["tion", "ment", "eau", "elle", "rewh", "this", "from", "ein", "von"]
@@ -263,7 +264,7 @@ c AS (SELECT id, ticker, CAST(published AS VARCHAR) AS date, {sql_classify(fixed
 SELECT *, row_number() OVER (PARTITION BY ticker, date, category ORDER BY semantic_score DESC, id) AS rank FROM c""")
 def rank_articles(spark: SparkSession, sf: str) -> DataFrame:
     rows = _categorized(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
-    return N.rank_articles(rows, ["ticker", "date", "category"])
+    return N.rank_articles(stored(rows, "categorized"), ["ticker", "date", "category"])
 
 
 def _categorized(spark: SparkSession, sf: str) -> DataFrame:

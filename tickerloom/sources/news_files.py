@@ -9,6 +9,7 @@ from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions.labels import parse_date, recent
 from tickerloom.functions.text import clean_markup
 from tickerloom.operators.news import rank_articles
+from tickerloom.plans.stored import stored
 
 FEED_ITEM_SCHEMA = (
     "title string, link string, pubDate string, updated string, description string, source string"
@@ -73,9 +74,14 @@ def nest_ranked_news(articles: DataFrame) -> DataFrame:
     """Documents ``{ticker, part, 30_day_news: {date: {category: [article]}}}``.
 
     One document holds at most ``DOCUMENT_ARTICLES`` articles of one (ticker, date,
-    category), in rank order, so no value grows with the hottest group.
+    category), in rank order, so no value grows with the hottest group.  Ranks are
+    made without the texts and joined back by id.
     """
-    ranked = rank_articles(articles, ["ticker", "date", "category"]) if "rank" not in articles.columns else articles
+    if "rank" not in articles.columns:
+        narrow = stored(articles.select("id", "ticker", "date", "category", "semantic_score"), "ranked")
+        ranks = rank_articles(narrow, ["ticker", "date", "category"]).select("id", "rank")
+        articles = articles.join(ranks, "id")
+    ranked = articles
     part = F.floor((F.col("rank") - 1) / DOCUMENT_ARTICLES)
     item = F.struct("rank", "summary", "source", "semantic_score")
     packed = ranked.withColumn("part", part).groupBy("ticker", "date", "category", "part").agg(
