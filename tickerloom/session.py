@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,7 +33,24 @@ def build_session(app: str = "tickerloom", master: str | None = None,
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once for a context; functions are pickled by name."""
+    context = spark.sparkContext
+    if getattr(context, "_tickerloom_shipped", False):
+        return
+    # Spark serves the archive from the driver for as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="tickerloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).parent
+    copy = Path(folder, "src", package.name)
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(Path(folder, package.name)), "zip", copy.parent))
+    context._tickerloom_shipped = True
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
