@@ -404,7 +404,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     clean_weight = max(1, sizes.get(0, 0)) / max(1, min(sample, sizes.get(0, 0)))
     toxic_weight = max(1, sizes.get(1, 0)) / max(1, min(sample, sizes.get(1, 0)))
     toxic, clean = toxic_weight * taught.get(1, 0), clean_weight * taught.get(0, 0)
-    base = (toxic + 0.5) / (toxic + clean + 1)
+    # Few labels say little: ten more clean texts are assumed.
+    base = (toxic + 0.5) / (toxic + clean + 10)
 
     counted = map_batches(chosen, partial(_count_features, context.broadcast(model)),
                           "feature string, toxic long, clean long").groupBy("feature").agg(
@@ -442,7 +443,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         for r in known.join(spark.createDataFrame([(p,) for p in parts], "begin string"), "begin").select(
                 "feature", "toxic", "clean").distinct().orderBy(F.desc("clean"), "feature").limit(FEATURES).collect():
             scores.setdefault(r.feature, share(r.toxic, r.clean))
-    return context.broadcast(model | {"features": scores, "base": min(base, (unexplained + 0.5) / (clean + unexplained + 1))})
+    return context.broadcast(model | {"features": scores, "base": min(base, (unexplained + 0.5) / (clean + unexplained + 10))})
 
 
 _scorers: dict[str, Scorer] = {}
