@@ -16,6 +16,10 @@ DATE_FORMATS = [
     "yyyy-MM-dd",
     "d MMM, yyyy, hh:mm a",
     "d MMM yyyy",
+    "MMMM d, yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy h:mm a",
+    "MMM d, yyyy h:mm a",
 ]
 
 

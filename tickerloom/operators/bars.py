@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.functions.numbers import parse_float
+
 # Interval names and the calendar unit each one is cut by.
 INTERVAL_UNITS = {
     "1h": "hour",
@@ -25,19 +27,22 @@ def valid_close(close: str | Column = "close") -> Column:
 
 
 def clean_candles(raw: DataFrame, asof: Column | None = None, days: int | None = 30) -> DataFrame:
-    """Cast raw candle rows, keep the last ``days`` days, drop unusable closes."""
+    """Cast raw candle rows, keep the last ``days`` days, drop unusable dates and closes.
+
+    A malformed date drops its row; of a text the leading number counts.
+    """
     asof = F.current_timestamp() if asof is None else asof
-    date = F.to_date("date")
+    date = F.col("date").try_cast("date")
     if days is not None:
-        raw = raw.filter(F.col("date").cast("timestamp") >= asof - F.make_dt_interval(F.lit(days)))
-    number = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
+        raw = raw.filter(F.col("date").try_cast("timestamp") >= asof - F.make_dt_interval(F.lit(days)))
+    number = lambda c: parse_float(F.col(c).cast("string"))
     rows = raw.select(
         "symbol",
         date.alias("date"),
         *[number(c).alias(c) for c in ("open", "high", "low", "close")],
         F.coalesce(F.floor(number("volume")).cast("bigint"), F.lit(0)).alias("volume"),
     )
-    return rows.filter(valid_close("close"))
+    return rows.filter(F.col("date").isNotNull() & valid_close("close"))
 
 
 def bars_from_ticks(

@@ -139,7 +139,7 @@ def enrich(
             F.abs(F.col("high") - F.col("prev_close")),
             F.abs(F.col("low") - F.col("prev_close")),
         ),
-        "return": F.col("close") / F.col("prev_close") - 1,
+        "return": F.col("close") / F.nullif(F.col("prev_close"), F.lit(0.0)) - 1,
     })
 
     recs = _recurrences(wanted, dialect, ema_periods, rsi_periods)
@@ -230,8 +230,8 @@ def _finish(wanted: set[str], dialect: str, sma_periods: Sequence[int], ema_peri
     out: list[Column] = []
     if "returns" in wanted:
         out += [
-            F.coalesce((close - F.col("prev_close")) / F.col("prev_close") * 100, F.lit(0.0)).alias("price_change_pct"),
-            ((F.col("high") - F.col("low")) / F.col("low") * 100).alias("high_low_range_pct"),
+            F.coalesce((close - F.col("prev_close")) / F.nullif(F.col("prev_close"), F.lit(0.0)) * 100, F.lit(0.0)).alias("price_change_pct"),
+            ((F.col("high") - F.col("low")) / F.nullif(F.col("low"), F.lit(0.0)) * 100).alias("high_low_range_pct"),
         ]
     if "sma" in wanted:
         for p in sma_periods:
@@ -260,7 +260,7 @@ def _finish(wanted: set[str], dialect: str, sma_periods: Sequence[int], ema_peri
         out += [
             upper.alias("bb_upper"), mid, lower.alias("bb_lower"),
             F.when(usable, (close - lower) / width).alias("bb_percent_b"),
-            F.when(usable, (upper - lower) / mid * 100).alias("bb_bandwidth"),
+            F.when(usable, (upper - lower) / F.nullif(mid, F.lit(0.0)) * 100).alias("bb_bandwidth"),
         ]
     if "atr" in wanted:
         out.append(F.col(f"atr{ATR_PERIOD}"))

@@ -11,6 +11,7 @@ a written table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +33,14 @@ _BALANCE, _POSITION, _TRADE = 0, 1, 2
 
 
 def check_requests(trades: DataFrame) -> DataFrame:
-    """Add ``reject_reason``: a required field is absent or zero, or the side is unknown."""
+    """Add ``reject_reason``: a required field is absent or zero, the side is unknown, or the time is."""
     no_text = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     no_number = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) == 0
     missing = no_text("symbol") | no_text("side") | no_number("quantity") | no_number("price")
-    return trades.withColumn(
-        "reject_reason",
-        F.when(missing, "missing_field").when(~F.col("side").isin(SIDES), "invalid_side"),
-    )
+    reason = F.when(missing, "missing_field").when(~F.col("side").isin(SIDES), "invalid_side")
+    if "ts" in trades.columns:
+        reason = reason.when(F.col("ts").isNull(), "missing_time")
+    return trades.withColumn("reject_reason", reason)
 
 
 def position_pnl(side: Column, avg_cost: Column, price: Column, quantity: Column) -> Column:
@@ -92,7 +93,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     book: _Book | None = None
     for batch in batches:
         out = []
-        columns = ("user_id", "kind", "trade_id", "ts", "symbol", "side", "quantity", "price", "reject_reason")
+        columns = ("user_id", "kind", "trade_name", "ts", "symbol", "side", "quantity", "price", "reject_reason")
         for user, kind, trade, ts, symbol, side, qty, price, early in zip(*(batch[c] for c in columns)):
             if book is None or book.user_id != user:
                 book = _Book(user)
@@ -111,11 +112,12 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cost = qty * price
                 status = "REJECTED" if reason else "COMPLETED"
             held, avg = book.positions.get(symbol, (0.0, 0.0))
-            out.append((user, None if kind != _TRADE else trade, ts, symbol, side, qty, price, cost, status, reason,
+            out.append((user, int(trade) if isinstance(trade, str) else None, ts, symbol, side, qty, price, cost, status, reason,
                         entry, pnl, book.balance, held, avg, book.seq))
         names = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
         frame = pd.DataFrame(out, columns=names)
-        frame["trade_id"] = frame["trade_id"].astype("Int64")
+        # Ids beyond 2**53 do not survive a column of floats.
+        frame["trade_id"] = pd.array([row[1] for row in out], dtype="Int64")
         yield frame
 
 
@@ -142,7 +144,9 @@ def replay_trades(trades: DataFrame, users: DataFrame, positions: DataFrame | No
             F.col("avg_cost").alias("price"), null("string").alias("reject_reason"),
         ))
     ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "kind", "ts", "trade_id", "symbol")
-    return ordered.mapInPandas(_fold, LEDGER_SCHEMA)
+    # Ids travel as text: pandas would read a column with nulls as floats.
+    named = ordered.withColumn("trade_name", F.col("trade_id").cast("string")).drop("trade_id")
+    return named.mapInPandas(_fold, LEDGER_SCHEMA)
 
 
 def one_sided(requests: DataFrame, side: str) -> DataFrame:
@@ -160,11 +164,17 @@ def transactions(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _order(ledger: DataFrame) -> Column:
+    """The order of a user's rows; numbers start again in each period."""
+    return F.struct("period", "seq") if "period" in ledger.columns else F.struct("seq")
+
+
 def open_positions(ledger: DataFrame) -> DataFrame:
     """Positions left after the last accepted trade of each (user, symbol)."""
+    at = _order(ledger)
     last = ledger.filter((F.col("status") != "REJECTED") & F.col("symbol").isNotNull()).groupBy(
         "user_id", "symbol"
-    ).agg(F.max_by("position_after", "seq").alias("held"), F.max_by("avg_cost_after", "seq").alias("avg_cost"))
+    ).agg(F.max_by("position_after", at).alias("held"), F.max_by("avg_cost_after", at).alias("avg_cost"))
     return last.filter(F.col("held") != 0).select(
         "user_id", "symbol",
         F.when(F.col("held") < 0, "SHORT").otherwise("LONG").alias("side"),
@@ -173,7 +183,7 @@ def open_positions(ledger: DataFrame) -> DataFrame:
 
 
 def balances(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("user_id").agg(F.max_by("balance_after", "seq").alias("balance")).filter(
+    return ledger.groupBy("user_id").agg(F.max_by("balance_after", _order(ledger)).alias("balance")).filter(
         F.col("balance").isNotNull())
 
 
@@ -195,25 +205,40 @@ def replay_by_period(spark: SparkSession, trades: DataFrame, users: DataFrame, u
                      path: str | None = None) -> DataFrame:
     """Replay period by period, each from the written balances and positions of the one before.
 
-    The number of rounds is the number of calendar periods in the data.  Give
-    ``path`` to go on after a stop: finished periods are not run again.
+    The number of rounds is the number of calendar periods in the data.  Give ``path`` to
+    go on after a stop.  A period's folder is named by a signature of its trades, of all
+    periods before and of the users, so that late trades and new users make a period and
+    those after it run again, and nothing else.  Trades without a time come last, rejected.
     """
     path = path or shared_dir(spark, "ledger")
-    period = F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM-dd-HH")
+    period = F.coalesce(F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM-dd-HH"), F.lit("without-time"))
     tagged = trades.withColumn("period", period)
-    periods = sorted(r[0] for r in tagged.select("period").distinct().collect())
+    digest = lambda df: F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+    periods = tagged.groupBy("period").agg(F.count("*").alias("n"), digest(trades).alias("h")).orderBy("period").collect()
     state_users, state_positions = users.select("user_id", "balance"), None
+    first = state_users.agg(F.count("*").alias("n"), digest(state_users).alias("h")).first()
+    chain = hashlib.blake2b(f"{first.n} {first.h}".encode(), digest_size=12)
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))
+    # One pass deals the trades out by period; each round reads its own folder.
+    dealt = f"{shared_dir(spark, 'trades')}"
+    tagged.write.partitionBy("period").parquet(dealt)
+    source = spark.read.schema(tagged.schema).parquet(dealt)
+    ledger = None
     for p in periods:
-        part = f"{path}/rows/period={p}"
-        if not done(part):
-            rows = replay_trades(tagged.filter(F.col("period") == p).drop("period"), state_users, state_positions)
-            rows.write.mode("overwrite").parquet(part)
-        ledger = spark.read.schema(LEDGER_SCHEMA).parquet(part)
+        chain.update(f"{p.period} {p.n} {p.h}".encode())
+        part = f"{path}/{p.period}-{chain.hexdigest()}"
+        if not done(f"{part}/rows"):
+            rows = replay_trades(source.filter(F.col("period") == p.period).drop("period"), state_users, state_positions)
+            rows.write.mode("overwrite").parquet(f"{part}/rows")
+        rows = spark.read.schema(LEDGER_SCHEMA).parquet(f"{part}/rows")
         for name, make in (("users", balances), ("positions", open_positions)):
-            if not done(f"{path}/{name}/{p}"):
-                make(ledger).write.mode("overwrite").parquet(f"{path}/{name}/{p}")
-        state_users = spark.read.parquet(f"{path}/users/{p}")
-        state_positions = spark.read.parquet(f"{path}/positions/{p}")
-    return spark.read.schema(LEDGER_SCHEMA + ", period string").parquet(f"{path}/rows")
+            if not done(f"{part}/{name}"):
+                make(rows).write.mode("overwrite").parquet(f"{part}/{name}")
+        state_users = spark.read.parquet(f"{part}/users")
+        state_positions = spark.read.parquet(f"{part}/positions")
+        own = rows.withColumn("period", F.lit(p.period))
+        ledger = own if ledger is None else ledger.unionByName(own)
+    if ledger is None:
+        return replay_trades(trades, state_users).withColumn("period", F.lit(None).cast("string"))
+    return ledger

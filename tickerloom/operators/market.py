@@ -59,13 +59,13 @@ def prefer(*candidates: DataFrame) -> DataFrame:
     return candidates[-1]
 
 
-def daily_quotes(bars: DataFrame, asof: Column) -> DataFrame:
-    """Quote per symbol on ``asof``: last close, change against the close before, volume.
+def daily_quotes(bars: DataFrame, asof: Column | None = None) -> DataFrame:
+    """Quote per symbol on ``asof``, or on its latest day: last close, change against the close before, volume.
 
     The two latest closes come from mergeable aggregates, so a long history needs no
     window.
     """
-    upto = bars.filter(F.col("date") <= asof)
+    upto = bars if asof is None else bars.filter(F.col("date") <= asof)
     last = upto.groupBy("symbol").agg(
         F.max_by("close", "date").alias("current_price"), F.max("date").alias("_last"),
         F.max_by("volume", "date").alias("volume"))
@@ -74,7 +74,7 @@ def daily_quotes(bars: DataFrame, asof: Column) -> DataFrame:
     change = F.col("current_price") - F.col("previous_close")
     return last.join(before, "symbol", "left").select(
         "symbol", F.col("_last").alias("date"), "current_price", "previous_close", change.alias("change"),
-        (change / F.col("previous_close") * 100).alias("percent_change"), "volume",
+        (change / F.nullif(F.col("previous_close"), F.lit(0.0)) * 100).alias("percent_change"), "volume",
         F.coalesce(change >= 0, F.lit(True)).alias("is_up"),
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,11 +12,8 @@ from tickerloom.functions import text as T
 from tickerloom.plans.blocks import number_rows
 from tickerloom.plans.stored import stored
 
-# Ids of a hot group are numbered inside ranges of this many, so no rank window grows with the data.
-ID_RANGE = 1 << 20
-
-# Groups of more rows than this are split before they are ranked.
-HOT_GROUP = 4_000_000
+# Ordinals are numbered inside this many ranges between the smallest and the largest.
+ORDINAL_RANGES = 1024
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -130,20 +126,15 @@ def rank_articles(df: DataFrame, group: Sequence[str], score: str = "semantic_sc
                   name: str = "rank") -> DataFrame:
     """Position of every article in its group by score descending, then input order.
 
-    Groups of more than ``HOT_GROUP`` rows are split by score and, within a score,
-    by id range, so a group with a third of all rows, or a score shared by most of
+    Groups are split by score and, within a score, by range of ordinals, so a group with a third of all rows, or a score shared by most of
     them, is numbered by many tasks.  Scores must have few distinct values;
     similarities have four decimals.  ``df`` is read three times: pass a stored
     table without texts and join them by id.
     """
-    # A listed group has more than HOT_GROUP rows, so the list is at most that part of the table.
-    hot = F.broadcast(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_GROUP).select(
-        *[F.col(g).alias(f"_h_{g}") for g in group], F.lit(True).alias("_hot")))
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in group])
-    split = df.join(hot, same, "left").withColumns({
-        "_level": F.when(F.col("_hot"), F.col(score)),
-        "_span": F.when(F.col("_hot"), F.floor(F.col(ordinal) / ID_RANGE)),
-    }).select(*df.columns, "_level", "_span")
+    ends = df.agg(F.min(ordinal).alias("low"), F.max(ordinal).alias("high")).first()
+    width = ((ends.high or 0) - (ends.low or 0)) // ORDINAL_RANGES + 1
+    split = df.withColumns({
+        "_level": F.col(score), "_span": F.floor((F.col(ordinal) - (ends.low or 0)) / width)})
     out = number_rows(
         split, group, ["_level", "_span"], bucket_order=[F.desc("_level"), F.asc("_span")],
         row_order=[F.desc(score), F.asc(ordinal)], name=name, null_safe=True)

@@ -24,8 +24,7 @@ from tickerloom.sources import candles, news_files, pages as P, screeners, sinks
 ASOF = "2000-01-03"
 
 QUOTES = f"""{EOD},
-upto AS (SELECT * FROM eod WHERE date <= DATE '{ASOF}'),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM upto),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM eod),
 quotes AS (
   SELECT a.symbol, a.close AS current_price, b.close AS previous_close, a.close - b.close AS change,
          (a.close - b.close) / b.close * 100 AS percent_change, a.volume
@@ -35,7 +34,7 @@ quotes AS (
 
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
     bars = stored(V.eod(spark, sf), "eod")
-    return M.daily_quotes(bars, F.lit(ASOF).cast("date"))
+    return M.daily_quotes(bars)
 
 
 @register(f"""WITH {QUOTES},
@@ -73,24 +72,24 @@ def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("""
 SELECT symbol, arg_max(name, o) AS name FROM (
-  SELECT p_brand AS symbol, min(p_name) AS name, 0 AS o FROM part WHERE p_size <= 20 GROUP BY 1
-  UNION ALL SELECT p_brand, max(p_name), 1 FROM part WHERE p_size BETWEEN 15 AND 35 GROUP BY 1
+  SELECT p_brand AS symbol, min(p_name) AS name, 0 AS o FROM part GROUP BY 1
+  UNION ALL SELECT p_brand, max(p_name), 1 FROM part GROUP BY 1
   UNION ALL SELECT p_type, min(p_name), 2 FROM part GROUP BY 1) GROUP BY 1""")
 def merge_universe(spark: SparkSession, sf: str) -> DataFrame:
     part = V.table(spark, sf, "part")
     screen = lambda rows, key, agg: rows.groupBy(F.col(key).alias("symbol")).agg(agg("p_name").alias("name"))
     return M.merge_universe(
-        screen(part.filter("p_size <= 20"), "p_brand", F.min),
-        screen(part.filter("p_size BETWEEN 15 AND 35"), "p_brand", F.max),
+        screen(part, "p_brand", F.min),
+        screen(part, "p_brand", F.max),
         screen(part, "p_type", F.min))
 
 
 @register("""SELECT DISTINCT p_brand AS symbol FROM part""")
 def fallback_source(spark: SparkSession, sf: str) -> DataFrame:
-    """The screener is empty, so the listed symbols serve; the fixed list would come last."""
+    """No part name holds a symbol in capitals, so the brands serve; the fixed list would come last."""
     part = V.table(spark, sf, "part")
     fixed = spark.createDataFrame([(s,) for s in FALLBACK_SYMBOLS], "symbol string")
-    primary = part.filter("p_size < 0").select(F.col("p_brand").alias("symbol"))
+    primary = part.select(F.regexp_extract("p_name", r"\b([A-Z]{3,})\b", 1).alias("symbol")).filter("symbol <> ''").distinct()
     return M.prefer(primary, part.select(F.col("p_brand").alias("symbol")).distinct(), fixed)
 
 
@@ -424,7 +423,7 @@ def trade_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH RECURSIVE {PLAN},
-n AS (SELECT p_brand AS symbol, count(*) AS c FROM part WHERE p_size <= 45 GROUP BY 1)
+n AS (SELECT p_brand AS symbol, count(*) AS c FROM part GROUP BY 1)
 SELECT symbol AS ticker, current_price, plan.signal, coalesce(c, 0) AS news_count,
        CASE WHEN c IS NULL THEN 'No recent news found.' ELSE 'ready' END AS news_summary, 'Neutral' AS verdict
 FROM (SELECT DISTINCT p_brand AS symbol FROM part) u LEFT JOIN snap USING (symbol) LEFT JOIN plan USING (symbol)
@@ -434,7 +433,7 @@ def assembled_insights(spark: SparkSession, sf: str) -> DataFrame:
     part = V.table(spark, sf, "part")
     key = F.col("symbol").alias("ticker")
     universe = part.select(F.col("p_brand").alias("ticker")).distinct()
-    counts = part.filter("p_size <= 45").groupBy(F.col("p_brand").alias("ticker")).agg(
+    counts = part.groupBy(F.col("p_brand").alias("ticker")).agg(
         F.count(F.lit(1)).alias("news_count")).withColumn("news_summary", F.lit("ready"))
     docs = insights.assemble_insights(
         universe, F.lit(ASOF).cast("timestamp"), None, snap.select(key, *snap.columns[1:]),

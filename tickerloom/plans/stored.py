@@ -18,12 +18,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scanned table of fewer pieces than cores before costly work on its rows.
-
-    A small file is read by one task.  A large table has more splits than cores and
-    is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
