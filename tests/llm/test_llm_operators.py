@@ -18,6 +18,7 @@ from tickerloom.llm import (
     line_dedup,
     near_dup,
     packing,
+    samples,
     sharding,
     text_units,
     topk_search,
@@ -416,3 +417,18 @@ def test_scatter_equals_product():
     q = rng.integers(-5, 5, (7, 12)) * (rng.random((7, 12)) < 0.4)
     c = rng.integers(-5, 5, (90, 12)) * (rng.random((90, 12)) < 0.4)
     assert (topk_search._scores(q, c) == c @ q.T).all()
+
+
+def test_samples_take_a_share_of_each_value_and_all_of_rare_ones(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, "a").when(F.col("id") < 100, "b").when(F.col("id") < 19_000, "c").alias("lang"),
+        F.xxhash64("id").alias("draw"), F.lit(1).alias("_other"))
+    taken = {r.lang: r.n for r in samples.sampled(rows, "lang", "draw", 500).groupBy("lang").agg(
+        F.count("*").alias("n")).collect()}
+    assert taken["b"] == 50 and 400 < taken["a"] < 600 and 400 < taken["c"] < 600 and set(taken) == {"a", "b", "c"}
+    assert samples.sampled(rows.filter("false"), "lang", "draw", 500).count() == 0
+
+
+def test_samples_rank_nothing(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("lang"), F.xxhash64("id").alias("draw"))
+    assert "Window" not in samples.sampled(rows, "lang", "draw", 10)._jdf.queryExecution().toString()

@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm import text_units as units
 from tickerloom.llm.batches import Batches, map_batches, texts_of
+from tickerloom.llm.samples import sampled
 from tickerloom.plans.stored import stored
 
-#: The classifier is fitted on at most so many texts of each language, chosen by a hash of their ids.
+#: The classifier is fitted on about so many texts of each language at most, chosen by a hash of their ids.
 SAMPLE = 1000
 ROUNDS = 2
 #: Bytes of the longest piece that is used.
@@ -251,10 +252,7 @@ def fit(train: DataFrame, vocabulary: str, sample: int = SAMPLE, id_col: str = "
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                         F.xxhash64(F.col(id_col)).alias("draw")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull())
-    # One bound of the hash for each language keeps its sample; no text is moved for it.
-    ranked = rows.select("lang", "draw").withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw)"))
-    bound = ranked.filter(F.col("k") <= sample).groupBy("lang").agg(F.max("draw").alias("bound"))
-    chosen = rows.join(F.broadcast(bound), "lang").filter("draw <= bound").select("lang", "text")
+    chosen = sampled(rows, "lang", "draw", sample).select("lang", "text")
     counts = stored(map_batches(chosen, _word_counts, "lang string, word string, n long")
                     .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())

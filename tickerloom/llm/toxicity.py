@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from tickerloom.llm import text_units as units
 from tickerloom.llm.batches import Batches, map_batches, texts_of
 from tickerloom.llm.decontaminate import Sieve
+from tickerloom.llm.samples import sampled
 from tickerloom.plans.stored import stored
 
-#: The classifier is fitted on at most so many labelled texts of each label, chosen by a hash of their ids.
+#: The classifier is fitted on about so many labelled texts of each label at most, chosen by a hash of their ids.
 SAMPLE = 20_000
 #: Features kept for the credit round, by number of toxic texts.
 FEATURES = 20_000
@@ -395,11 +396,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(
         "id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    ranked = marked.withColumn("k", F.expr("row_number() OVER (PARTITION BY toxic ORDER BY xxhash64(id), id)"))
+    picked = sampled(marked.withColumn("draw", F.xxhash64("id")), "toxic", "draw", sample).drop("draw")
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("id").alias("n")).collect()}
-    # At most two times ``sample`` ids are broadcast.
-    chosen = stored(texts.filter("text IS NOT NULL").join(
-        F.broadcast(ranked.filter(F.col("k") <= sample).drop("k")), "id").select("text", "toxic"), "labelled")
+    # About two times ``sample`` ids are broadcast, however many labels there are.
+    chosen = stored(texts.filter("text IS NOT NULL").join(F.broadcast(picked), "id").select("text", "toxic"), "labelled")
     taught = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean_weight = max(1, sizes.get(0, 0)) / max(1, min(sample, sizes.get(0, 0)))
     toxic_weight = max(1, sizes.get(1, 0)) / max(1, min(sample, sizes.get(1, 0)))
