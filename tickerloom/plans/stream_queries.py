@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickerloom.plans import views as V
 from tickerloom.plans.news_queries import (
@@ -17,16 +20,27 @@ from tickerloom.streaming import live
 SLICES = 3
 
 
-def _arrivals(df: DataFrame, order: str, name: str) -> DataFrame:
-    """``df`` arriving as files in ``order``: a stream that reads one slice per batch."""
+def _replay(df: DataFrame, order: str, name: str, build: Callable[[DataFrame], DataFrame], path: str,
+            mode: str = "update", late_hours: int = 0) -> StructType:
+    """Run the stream ``build`` over ``df`` arriving in slices of ``order``; returns its schema.
+
+    Each slice is written by as many tasks as its scan has, then the query goes on from its
+    checkpoint until nothing is left.  A row arrives up to ``late_hours`` hours late.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    bounds = df.agg(F.percentile_approx(F.col(order).cast("timestamp"), [i / SLICES for i in range(1, SLICES)])).first()[0]
+    source = shared_dir(spark, name)
     at = F.col(order).cast("timestamp")
-    place = sum((F.when(at > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    if late_hours:
+        at += F.make_interval(hours=F.pmod(F.xxhash64(*df.columns), F.lit(late_hours + 1)).cast("int"))
+    df = df.withColumn("_at", at)
+    bounds = df.agg(F.percentile_approx("_at", [i / SLICES for i in range(1, SLICES)])).first()[0] or []
+    place = sum((F.when(F.col("_at") > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    rows = df.drop("_at")
     for i in range(SLICES):
-        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(place == i).drop("_at").write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(rows.schema).parquet(source))
+        live.run_available(stream, path, mode)
+    return stream.schema
 
 
 @register("""
@@ -37,10 +51,9 @@ FROM events GROUP BY 1, 2""")
 def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
     ticks = V.event_ticks(spark, sf).select(
         "symbol", F.col("ts").cast("timestamp").alias("ts"), "price", "volume", F.col("event_id").alias("seq"))
-    bars = live.stream_bars(_arrivals(ticks, "ts", "ticks"))
     path = shared_dir(spark, "stream-bars")
-    live.run_available(bars, path)
-    rows = live.read_latest(spark, f"{path}/log", ["symbol", "start"], bars.schema)
+    schema = _replay(ticks, "ts", "ticks", live.stream_bars, path, late_hours=12)
+    rows = live.read_latest(spark, f"{path}/log", ["symbol", "start"], schema)
     return rows.select("symbol", F.date_format("start", "yyyy-MM-dd").alias("date"),
                        "open", "high", "low", "close", "volume")
 
@@ -51,10 +64,9 @@ SELECT walk.user_id, walk.trade_id, CASE WHEN reason IS NULL THEN 'COMPLETED' EL
 FROM walk JOIN trades ON walk.trade_id = trades.trade_id""")
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    out = live.stream_ledger(_arrivals(V.trades(spark, sf), "ts", "trades"), BALANCE)
     path = shared_dir(spark, "stream-ledger")
-    live.run_available(out, path, "append")
-    rows = spark.read.schema(out.schema).parquet(f"{path}/table")
+    schema = _replay(V.trades(spark, sf), "ts", "trades", lambda trades: live.stream_ledger(trades, BALANCE), path, "append")
+    rows = spark.read.schema(schema).parquet(f"{path}/table")
     return rows.select("user_id", "trade_id", "status", "reject_reason", "realized_pnl", "balance_after")
 
 
@@ -63,19 +75,18 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The given articles span thirty days, so a watermark of sixty keeps every key."""
     rows = V.news(spark, sf).select("id", "title", F.col("published").cast("timestamp").alias("published"))
     path = shared_dir(spark, "stream-dedup")
-    kept = live.stream_dedup(_arrivals(rows, "published", "articles"), late="60 days")
-    live.run_available(kept, path, "append")
-    return spark.read.schema(kept.schema).parquet(f"{path}/table").select("title_key")
+    schema = _replay(rows, "published", "articles", lambda articles: live.stream_dedup(articles, late="60 days"), path,
+                     "append", late_hours=24)
+    return spark.read.schema(schema).parquet(f"{path}/table").select("title_key")
 
 
 @register("""
 SELECT user_id, 'S' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS symbol, count(*) AS toggles,
        count(*) % 2 = 1 AS listed FROM events WHERE event_type = 'signup' GROUP BY 1, 2""")
 def stream_watchlist(spark: SparkSession, sf: str) -> DataFrame:
-    state = live.stream_watchlist(_arrivals(V.watch_events(spark, sf), "ts", "toggles"))
     path = shared_dir(spark, "stream-watchlist")
-    live.run_available(state, path)
-    rows = live.read_latest(spark, f"{path}/log", ["user_id", "symbol"], state.schema)
+    schema = _replay(V.watch_events(spark, sf), "ts", "toggles", live.stream_watchlist, path, late_hours=24)
+    rows = live.read_latest(spark, f"{path}/log", ["user_id", "symbol"], schema)
     return rows.select("user_id", "symbol", "toggles", "listed")
 
 
@@ -85,10 +96,9 @@ SELECT ticker, CAST(date AS VARCHAR) AS date, count(*) AS total_signals,
 FROM art GROUP BY 1, 2""")
 def stream_daily_signals(spark: SparkSession, sf: str) -> DataFrame:
     articles = _signal_articles(spark, sf).withColumn("published", F.col("date").cast("timestamp")).drop("date")
-    rows = live.stream_daily_signals(_arrivals(articles, "published", "scored"))
     path = shared_dir(spark, "stream-signals")
-    live.run_available(rows, path)
-    out = live.read_latest(spark, f"{path}/log", ["ticker", "date"], rows.schema)
+    schema = _replay(articles, "published", "scored", live.stream_daily_signals, path, late_hours=24)
+    out = live.read_latest(spark, f"{path}/log", ["ticker", "date"], schema)
     means = ("avg_sentiment_polarity", "avg_semantic_impact")
     return out.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), **{c: F.round(c, 10) for c in means}})
 
@@ -101,8 +111,8 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     orders = V.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("date"), "o_totalprice",
         F.timestamp_seconds(F.col("o_orderkey")).alias("arrived"))
-    running = _arrivals(orders, "arrived", "orders").groupBy("user_id", "date").agg(F.max("o_totalprice").alias("equity"))
     path = shared_dir(spark, "stream-upsert")
-    live.run_available(running, path)
-    rows = live.read_latest(spark, f"{path}/log", ["user_id", "date"], running.schema)
+    schema = _replay(orders, "arrived", "orders", lambda rows: rows.groupBy("user_id", "date").agg(
+        F.max("o_totalprice").alias("equity")), path, late_hours=24)
+    rows = live.read_latest(spark, f"{path}/log", ["user_id", "date"], schema)
     return rows.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
