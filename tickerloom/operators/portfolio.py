@@ -140,5 +140,20 @@ def portfolio_view(users: DataFrame, metrics: DataFrame, recent: DataFrame, list
     return out.fillna(0, ["holdings", "recent_transactions", "watchlist"]).fillna(0.0, ["market_value"])
 
 
+def portfolio_rows(metrics: DataFrame, recent: DataFrame, listed: DataFrame) -> DataFrame:
+    """The parts of every user's portfolio view as rows: holdings, recent transactions in order, watchlist.
+
+    ``n`` is the place of a transaction (1 is the newest), 0 elsewhere; a user's view is the rows of
+    that user, without any value that grows with them.
+    """
+    none = F.lit(None).cast("double")
+    row = lambda section, n, quantity, amount: [
+        "user_id", F.lit(section).alias("section"), "symbol", n.cast("int").alias("n"), quantity.alias("quantity"),
+        amount.alias("amount")]
+    held = metrics.select(row("holding", F.lit(0), F.col("quantity").cast("double"), F.col("market_value")))
+    done = recent.select(row("transaction", F.col("n"), F.col("quantity"), F.col("quantity") * F.col("price")))
+    return held.unionByName(done).unionByName(listed.select(row("watchlist", F.lit(0), none, none)))
+
+
 def drop_credentials(users: DataFrame) -> DataFrame:
     return users.drop("password", "password_hash")

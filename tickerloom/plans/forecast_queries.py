@@ -15,6 +15,7 @@ from tickerloom.plans.news_queries import (
     _BUCKETS, NEWS, REFS, SIGNAL, _signal_articles, _with_semantic, lexicon, sql_classify, sql_five, sql_polarity,
 )
 from tickerloom.plans.registry import register
+from tickerloom.plans.stored import stored
 from tickerloom.session import shared_dir
 from tickerloom.sources import news_files, sinks
 
@@ -206,6 +207,56 @@ def signals_csv(spark: SparkSession, sf: str) -> DataFrame:
                      "earnings_count bigint, analyst_count bigint, regulation_count bigint, daily_signal_label string")
 
 
+@register(f"""WITH {NEWS}, {SIGNAL},
+d AS (SELECT ticker, CAST(date AS VARCHAR) AS date, count(*) AS total_signals,
+             round(avg(polarity), 10) AS avg_sentiment_polarity, round(avg(semantic), 10) AS avg_semantic_impact,
+             {_BUCKETS} FROM art GROUP BY 1, 2)
+SELECT *, CASE WHEN avg_sentiment_polarity > 0.05 AND avg_semantic_impact > 0.25 THEN 'Bullish'
+               WHEN avg_sentiment_polarity < -0.05 OR regulation_count >= 2 THEN 'Bearish' ELSE 'Neutral' END
+            AS daily_signal_label FROM d""")
+def daily_signals_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily signals written to CSV and read back."""
+    path = shared_dir(spark, "daily-signals")
+    rows = S.daily_signals(_signal_articles(spark, sf), digits=10)
+    sinks.write_signals_csv(rows, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return sinks.read_signals_csv(spark, path, schema).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@register(f"""WITH {FEATURES},
+m AS (SELECT ticker, count(*) AS n, avg(avg_sentiment_polarity) AS mood, max(date) AS last FROM feat GROUP BY 1)
+SELECT ticker, strftime(last + d, '%Y-%m-%d') AS date, true AS shares, n >= 8 AS learned, CAST(CASE WHEN n >= 8 THEN NULL
+       WHEN mood > 0.05 THEN 0.6 WHEN mood < -0.05 THEN 0.1 ELSE 0.3 END AS DOUBLE) AS fixed_bull
+FROM m, (SELECT unnest([1, 2, 3]) AS d)""")
+def forecast_model_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """What is certain of the model's forecast: its rows, shares that add up to 1, the fixed cases."""
+    features = stored(_features(spark, sf), "features")
+    cases = ("bull", "neutral", "bear")
+    whole = F.abs(sum(F.col(c) for c in cases) - 1) < 1e-6
+    for c in cases:
+        whole &= F.col(c).between(0, 1)
+    days = features.groupBy("ticker").agg((F.count(F.lit(1)) >= FC.LENGTH + 1).alias("learned"))
+    return FC.forecast(features, F.lit("2024-03-01").cast("date")).join(days, "ticker").select(
+        "ticker", F.date_format("date", "yyyy-MM-dd").alias("date"), whole.alias("shares"), "learned",
+        F.when(~F.col("learned"), F.col("bull")).alias("fixed_bull"))
+
+
+@register(f"""WITH {FEATURES},
+sig AS (SELECT ticker, avg(round(polarity, 4)) AS s, avg(semantic) AS i,
+               count(*) FILTER (category = 'regulation') AS r FROM art GROUP BY 1),
+ev AS (SELECT ticker, {sql_five('round(s, 10)', 'round(i, 10)', 'r')} AS ground_truth FROM sig)
+SELECT ticker, ground_truth, {_INDEX('ground_truth')} AS y_true, true AS judged FROM ev""")
+def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """The network's first day against each ticker's signal; only the judgement itself depends on the network."""
+    articles = stored(_blocks(spark, sf), "blocks")
+    cases = FC.forecast(S.daily_features(articles), F.lit("2024-03-01").cast("date"))
+    rows = S.evaluate_forecast(S.company_signals(articles, digits=10), cases)
+    named = F.array(*[F.lit(x) for x in ("Bullish", "Neutral", "Bearish")])
+    judged = (F.get(named, F.col("y_pred")) == F.col("predicted_class")) & (
+        F.col("correct") == (F.col("y_true") == F.col("y_pred")))
+    return rows.select("ticker", "ground_truth", "y_true", judged.alias("judged"))
+
+
 @register()
 def forecast_model(spark: SparkSession, sf: str) -> DataFrame:
     """Network forecast for tickers with enough days, fixed cases for the others; no SQL form."""

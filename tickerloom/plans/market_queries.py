@@ -422,13 +422,16 @@ def trade_plan(spark: SparkSession, sf: str) -> DataFrame:
         joined("reading").alias("readings"), joined("interpretation").alias("readings_mean"))
 
 
-@register(f"""WITH RECURSIVE {PLAN},
+INSIGHTS = f"""WITH RECURSIVE {PLAN},
 n AS (SELECT p_brand AS symbol, count(*) AS c FROM part GROUP BY 1)
 SELECT symbol AS ticker, current_price, plan.signal, coalesce(c, 0) AS news_count,
        CASE WHEN c IS NULL THEN 'No recent news found.' ELSE 'ready' END AS news_summary, 'Neutral' AS verdict
 FROM (SELECT DISTINCT p_brand AS symbol FROM part) u LEFT JOIN snap USING (symbol) LEFT JOIN plan USING (symbol)
-  LEFT JOIN n USING (symbol)""")
-def assembled_insights(spark: SparkSession, sf: str) -> DataFrame:
+  LEFT JOIN n USING (symbol)"""
+
+
+def _insights(spark: SparkSession, sf: str) -> DataFrame:
+    """Insight documents written and read back."""
     snap = I.latest_snapshot(stored(V.eod(spark, sf), "eod"))
     part = V.table(spark, sf, "part")
     key = F.col("symbol").alias("ticker")
@@ -440,7 +443,21 @@ def assembled_insights(spark: SparkSession, sf: str) -> DataFrame:
         strategy.trade_plan(snap).withColumnRenamed("symbol", "ticker"), counts)
     path = shared_dir(spark, "insights")
     sinks.write_insights(docs, path)
-    back = spark.read.schema(docs.schema).json(path)
-    return back.select("ticker", F.col("technicals.current_price").alias("current_price"),
+    return spark.read.schema(docs.schema).json(path)
+
+
+def _shown(docs: DataFrame) -> DataFrame:
+    return docs.select("ticker", F.col("technicals.current_price").alias("current_price"),
                        F.col("trade_report.signal").alias("signal"), "news_count", "news_summary",
                        F.col("sentiment.verdict").alias("verdict"))
+
+
+@register(INSIGHTS)
+def assembled_insights(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(_insights(spark, sf))
+
+
+@register(f"SELECT * FROM ({INSIGHTS}) WHERE upper(ticker) = 'BRAND#13'")
+def insight_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One ticker's document by a name in another letter case."""
+    return _shown(sinks.lookup_insight(_insights(spark, sf), "brand#13"))

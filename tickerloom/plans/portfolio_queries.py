@@ -9,6 +9,8 @@ from tickerloom.operators import ledger as L
 from tickerloom.operators import portfolio as P
 from tickerloom.plans import views as V
 from tickerloom.plans.registry import register
+from tickerloom.session import shared_dir
+from tickerloom.sources.candles import read_portfolio_table, write_portfolio_table
 
 BALANCE = 2000.0
 
@@ -239,6 +241,49 @@ def portfolio_view(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("market_value", F.round("market_value", 2))
 
 
+@register(f"""WITH {HOLDINGS}, {_WATCH},
+t AS (SELECT user_id, event_id, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+      FROM events WHERE event_type <> 'signup'),
+tx AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM t)
+SELECT user_id, 'holding' AS section, symbol, 0 AS n, CAST(quantity AS DOUBLE) AS quantity,
+       round(quantity * price, 4) AS amount FROM y
+UNION ALL SELECT user_id, 'transaction', 'S' || (k % 3), n, k % 10 + 1, round((k % 10 + 1) * value, 4) FROM tx WHERE n <= 10
+UNION ALL SELECT user_id, 'watchlist', symbol, 0, NULL, NULL FROM w""")
+def portfolio_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.portfolio_rows(_metrics(spark, sf), L.recent_transactions(V.trades(spark, sf), 10),
+                            P.watchlist(V.watch_events(spark, sf)))
+    return rows.withColumn("amount", F.round("amount", 4))
+
+
+@register(f"""WITH RECURSIVE {LEDGER}, {HOLDINGS}, {_WATCH}
+SELECT 'users' AS name, c_custkey AS user_id, 1 AS n, 100000.0::DOUBLE AS total FROM customer
+UNION ALL SELECT 'holdings', user_id, count(*), round(sum(quantity), 2) FROM y GROUP BY user_id
+UNION ALL SELECT 'transactions', walk.user_id, count(*), round(sum(q * p), 2)
+  FROM walk JOIN trades ON walk.trade_id = trades.trade_id WHERE reason IS NULL GROUP BY walk.user_id
+UNION ALL SELECT 'watchlist', user_id, count(*), 0 FROM w GROUP BY user_id
+UNION ALL SELECT 'snapshots', user_id, count(*), round(sum(equity), 2) FROM (
+  SELECT o_custkey AS user_id, round(sum(o_totalprice), 2) AS equity FROM orders GROUP BY 1, CAST(o_orderdate AS DATE))
+  GROUP BY user_id""")
+def portfolio_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The five portfolio tables written with their schemas and read back, counted and summed for each user."""
+    ledger = L.replay_trades(V.trades(spark, sf), V.trade_users(spark, sf, BALANCE))
+    made = {
+        "users": (V.customer_users(spark, sf), F.col("initial_capital")),
+        "holdings": (V.holdings(spark, sf), F.col("quantity")),
+        "transactions": (L.transactions(ledger), F.col("total_cost")),
+        "watchlist": (P.watchlist(V.watch_events(spark, sf)), F.lit(0.0)),
+        "snapshots": (V.snapshots(spark, sf), F.col("equity")),
+    }
+    root, out = shared_dir(spark, "portfolio"), None
+    for name, (rows, value) in made.items():
+        write_portfolio_table(rows, f"{root}/{name}", name)
+        back = read_portfolio_table(spark, f"{root}/{name}", name).groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 2).alias("total"))
+        part = back.select(F.lit(name).alias("name"), "user_id", "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 SNAP = """s AS (SELECT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) AS equity
       FROM orders GROUP BY 1, 2)"""
 
