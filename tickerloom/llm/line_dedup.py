@@ -49,6 +49,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
         "h1", "h2", "doc")
     common = sorted_lines.groupBy("h1", "h2", "doc").agg(F.count("*").alias("times")).groupBy("h1", "h2").agg(
         F.count("doc").alias("docs"), F.max("doc").alias("last")).filter(F.col("docs") >= min_docs).drop("docs")
+    # A written table is a plain side of the join: Spark knows its size and can split a hot line.
+    common = stored(common, "common_lines")
     gone = lines.join(common, ["h1", "h2"]).filter("doc <> last").select("doc", "copy", "pos").distinct()
     totals = source.select("doc", "copy", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
                                            + 1).alias("n")).distinct()
