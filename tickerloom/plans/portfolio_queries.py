@@ -246,13 +246,12 @@ t AS (SELECT user_id, event_id, ts, value, CAST(json_extract_string(props, '$.k'
       FROM events WHERE event_type <> 'signup'),
 tx AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM t)
 SELECT user_id, 'holding' AS section, symbol, 0 AS n, CAST(quantity AS DOUBLE) AS quantity,
-       round(quantity * price, 4) AS amount FROM y
-UNION ALL SELECT user_id, 'transaction', 'S' || (k % 3), n, k % 10 + 1, round((k % 10 + 1) * value, 4) FROM tx WHERE n <= 10
+       quantity * price AS amount FROM y
+UNION ALL SELECT user_id, 'transaction', 'S' || (k % 3), n, k % 10 + 1, (k % 10 + 1) * value FROM tx WHERE n <= 10
 UNION ALL SELECT user_id, 'watchlist', symbol, 0, NULL, NULL FROM w""")
 def portfolio_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.portfolio_rows(_metrics(spark, sf), L.recent_transactions(V.trades(spark, sf), 10),
+    return P.portfolio_rows(_metrics(spark, sf), L.recent_transactions(V.trades(spark, sf), 10),
                             P.watchlist(V.watch_events(spark, sf)))
-    return rows.withColumn("amount", F.round("amount", 4))
 
 
 @register(f"""WITH RECURSIVE {LEDGER}, {HOLDINGS}, {_WATCH}
