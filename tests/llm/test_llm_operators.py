@@ -282,6 +282,21 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, known, held).count() == 0
 
 
+def test_toxicity_keeps_all_features(spark):
+    rng = random.Random(16)
+    spelled = ["".join(rng.sample("abcdefghijklm", 8)) for _ in range(7000)]
+    known_words = ["zork" + "".join(rng.sample("abcdefghijklmnopq", 4)) for _ in range(24_000)] + ["zorkzyxwv"]
+    toxic = [" ".join(spelled)] * 4 + ["truly vwxyzuvw"] * 3 + [f"n{'ab'[i % 2]}{'cdefghijkl'[i // 2]} zork{w}" for i, w in enumerate(
+        ["rstu", "rsut", "rtsu", "rtus", "rust", "ruts", "srtu", "srut", "strn", "sturn", "surt", "sutr"])]
+    clean = [" ".join(known_words)] + ["quiet paths along the river"] * 40
+    rows = [(i, t, "en", "s") for i, t in enumerate([*toxic, *clean])]
+    known = spark.createDataFrame([(i, 1, int(i < len(toxic))) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    tried = ["a vwxyzuvw", "the zorktuvs", "the zorkzyxwv", "quiet river"]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, "en", "s") for i, t in enumerate(tried)], DOCS)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, known, F.col("doc_id") >= 1000).collect()}
+    assert [got[1000 + i] for i in range(len(tried))] == [1, 1, 0, 0]
+
+
 # --- lines
 
 def test_line_dedup(spark, odd_docs, no_docs):

@@ -41,8 +41,6 @@ from tickerloom.plans.stored import stored
 
 #: The classifier is fitted on about so many labelled texts of each label at most, chosen by a hash of their ids.
 SAMPLE = 20_000
-#: Features kept for the credit round, by number of toxic texts.
-FEATURES = 20_000
 #: Lengths of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6, 7)
 #: Texts that the base rate counts for in a feature's score.
@@ -67,6 +65,8 @@ SEPARATORS = ",;:?\"()[]{}<>/\\&=%#^`"
 _COST_SIGN, _COST_DROP, _COST_SQUEEZE, _COST_LONG, _COST_BREAK = 1.0, 0.5, 2.5, 0.5, 8.0
 
 _ALPHABET = 32
+#: Bits of a feature's checksum that the sieve of candidates looks at.
+_MARK_BITS = 24
 
 
 @cache
@@ -354,28 +354,44 @@ def _count_features(model: Broadcast, batches: Batches) -> Batches:
              pa.array([clean[f] for f in names], pa.int64())], ["feature", "toxic", "clean"])
 
 
+class Marks:
+    """Whether a feature may be a candidate; of one size, however many candidates there are."""
+
+    def __init__(self, candidates: DataFrame) -> None:
+        mark = F.shiftright(F.crc32(F.col("feature").cast("binary")), 32 - _MARK_BITS)
+        # A bitmap of Spark holds 2**15 bits.
+        rows = candidates.groupBy(F.shiftright(mark, 15).alias("at")).agg(
+            F.bitmap_construct_agg(mark.bitwiseAND((1 << 15) - 1)).alias("bits")).collect()
+        found = {r["at"]: bytes(r["bits"]) for r in rows}
+        self.bits = b"".join(found.get(k, bytes(1 << 12)) for k in range(1 << _MARK_BITS - 15))
+
+    def __contains__(self, feature: str) -> bool:
+        mark = zlib.crc32(feature.encode("utf-8", "surrogatepass")) >> 32 - _MARK_BITS
+        return bool(self.bits[mark >> 3] >> (mark & 7) & 1)
+
+
 def _find_places(model: Broadcast, batches: Batches) -> Batches:
-    """Different places of the candidate features, in toxic and in clean texts."""
-    restore, wanted = _restorer(model), model.value["weights"]
+    """Different places of features that may be candidates, in toxic and in clean texts."""
+    restore, marks = _restorer(model), model.value["marks"]
     for batch in batches:
         found = sorted({(*p, label) for text, label in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist())
-                        for p in _places(restore, text) if p[0] in wanted})
+                        for p in _places(restore, text) if p[0] in marks})
         yield pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.int64()),
              pa.array([p[2] for p in found], pa.int32())], ["feature", "before", "toxic"])
 
 
-def _give_credit(model: Broadcast, batches: Batches) -> Batches:
-    """For each text without a strong feature, the one that explains most toxic texts."""
-    restore, weights, strong = _restorer(model), model.value["weights"], model.value["strong"]
+def _find_open(model: Broadcast, batches: Batches) -> Batches:
+    """Features that may be candidates, of each text without a strong one; an empty one for the text itself."""
+    restore, marks, strong = _restorer(model), model.value["marks"], model.value["strong"]
     for batch in batches:
-        best = []
-        for text in texts_of(batch, "text"):
+        found = []
+        for row, text in zip(batch.column("row").to_pylist(), texts_of(batch, "text")):
             own = _text_features(restore, text)
             if strong.isdisjoint(own):
-                ranked = [(weights[f], not f.endswith("~"), f) for f in own if f in weights]
-                best.append(max(ranked)[2] if ranked else "")
-        yield pa.RecordBatch.from_arrays([pa.array(best, pa.string())], ["feature"])
+                found += [(row, f) for f in ("", *sorted(own)) if not f or f in marks]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r for r, _ in found], pa.int64()), pa.array([f for _, f in found], pa.string())], ["row", "feature"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
@@ -399,7 +415,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     picked = sampled(marked.withColumn("draw", F.xxhash64("id")), "toxic", "draw", sample).drop("draw")
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("id").alias("n")).collect()}
     # About two times ``sample`` ids are broadcast, however many labels there are.
-    chosen = stored(texts.filter("text IS NOT NULL").join(F.broadcast(picked), "id").select("text", "toxic"), "labelled")
+    chosen = stored(texts.filter("text IS NOT NULL").join(F.broadcast(picked), "id").select(
+        "text", "toxic", F.monotonically_increasing_id().alias("row")), "labelled")
     taught = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean_weight = max(1, sizes.get(0, 0)) / max(1, min(sample, sizes.get(0, 0)))
     toxic_weight = max(1, sizes.get(1, 0)) / max(1, min(sample, sizes.get(1, 0)))
@@ -407,41 +424,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     # Few labels say little: ten more clean texts are assumed.
     base = (toxic + 0.5) / (toxic + clean + 10)
 
-    counted = map_batches(chosen, partial(_count_features, context.broadcast(model)),
+    labelled = chosen.select("text", "toxic")
+    counted = map_batches(labelled, partial(_count_features, context.broadcast(model)),
                           "feature string, toxic long, clean long").groupBy("feature").agg(
         (F.sum("toxic") * toxic_weight).alias("toxic"), (F.sum("clean") * clean_weight).alias("clean"))
     counted = stored(counted, "features")
-    top = counted.filter("toxic >= 2 AND 5 * toxic > clean").orderBy(F.desc("toxic"), "clean", "feature").limit(FEATURES)
-    weights, clean_of, toxic_of = {}, {}, {}
-    for r in top.collect():
-        clean_of[r.feature], toxic_of[r.feature] = r.clean, r.toxic
-        weights[r.feature] = r.toxic * (r.toxic + PRIOR * base) / (r.toxic + r.clean + PRIOR)
 
-    def share(bad: float, good: float) -> float:
+    def share(bad, good):
         return (bad + PRIOR * base) / (bad + good + PRIOR)
 
-    bad = chosen.filter("toxic = 1").select("text")
-    found = map_batches(chosen, partial(_find_places, context.broadcast(model | {"weights": weights})),
+    # Candidates stay a table: texts meet it by joins, behind a sieve of fixed size.
+    tried = counted.filter("toxic >= 2 AND 5 * toxic > clean").withColumn(
+        "weight", F.col("toxic") * (F.col("toxic") + PRIOR * base) / (F.col("toxic") + F.col("clean") + PRIOR))
+    model["marks"] = Marks(tried)
+    found = map_batches(labelled, partial(_find_places, context.broadcast(model)),
                         "feature string, before long, toxic int").distinct().groupBy("feature").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    good, scores = {}, {}
-    for r in found.collect():
-        good[r.feature] = min(r.good * clean_weight, clean_of[r.feature])
-        own = share(min(r.bad * toxic_weight, toxic_of[r.feature]), good[r.feature])
-        if r.bad >= PLACES and own >= SHARE:
-            scores[r.feature] = own
-    credit = {r.feature: r.n for r in map_batches(
-        bad, partial(_give_credit, context.broadcast(model | {"weights": weights, "strong": set(scores)})),
-        "feature string").groupBy("feature").agg(F.count("*").alias("n")).collect()}
-    unexplained = credit.pop("", 0) * toxic_weight
-    scores |= {f: x for f, n in credit.items() if (x := share(n * toxic_weight, good[f])) > base}
+    judged = stored(tried.join(found, "feature", "left").select(
+        "feature", "weight", "bad", F.least(F.col("good") * clean_weight, "clean").alias("good"),
+        F.least(F.col("bad") * toxic_weight, "toxic").alias("toxic")), "judged")
+    scores = {r.feature: r.score for r in judged.withColumn("score", share(F.col("toxic"), F.col("good"))).filter(
+        (F.col("bad") >= PLACES) & (F.col("score") >= SHARE)).select("feature", "score").collect()}
+    own = map_batches(chosen.filter("toxic = 1").select("row", "text"), partial(
+        _find_open, context.broadcast(model | {"strong": set(scores)})), "row long, feature string")
+    best = own.join(judged.select("feature", "weight"), "feature", "left").groupBy("row").agg(F.max(F.when(
+        F.col("weight").isNotNull(), F.struct("weight", ~F.col("feature").endswith("~"), "feature"))).alias("best"))
+    credit = best.groupBy(F.col("best.feature").alias("feature")).agg(F.count("*").alias("n"))
+    unexplained = 0.0
+    for r in credit.join(judged, "feature", "left").select(
+            "feature", "n", share(F.col("n") * toxic_weight, F.col("good")).alias("score")).filter(
+            F.col("feature").isNull() | (F.col("score") > base)).collect():
+        if r.feature is None:
+            unexplained = r.n * toxic_weight
+        else:
+            scores[r.feature] = r.score
+    del model["marks"]
     parts = sorted(f[:-1] for f in scores if f.endswith("~"))
     if parts:
         word = F.when(~F.col("feature").endswith("~"), F.col("feature"))
         known = counted.select("feature", "toxic", "clean", F.explode(
             F.array(*[F.substring(word, 1, k) for k in BEGINNINGS])).alias("begin")).filter("clean > toxic")
         for r in known.join(spark.createDataFrame([(p,) for p in parts], "begin string"), "begin").select(
-                "feature", "toxic", "clean").distinct().orderBy(F.desc("clean"), "feature").limit(FEATURES).collect():
+                "feature", "toxic", "clean").distinct().collect():
             scores.setdefault(r.feature, share(r.toxic, r.clean))
     return context.broadcast(model | {"features": scores, "base": min(base, (unexplained + 0.5) / (clean + unexplained + 10))})
 
