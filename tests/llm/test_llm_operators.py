@@ -297,6 +297,25 @@ def test_toxicity_keeps_all_features(spark):
     assert [got[1000 + i] for i in range(len(tried))] == [1, 1, 0, 0]
 
 
+def test_toxicity_decodes_all_units_that_matter():
+    """Scores with and without the test on skeletons."""
+    calm = ["the house stands near a river", "idiot you fool nitwit assess glass", "the idea of ideal islands", "ΛΟΓΟΣ και λόγος"] * 5
+    characters = toxicity.language_model(toxicity.trigrams(calm))
+    found = {"idiot": 0.9, "nitwit": 0.8, "fool": 0.7, "ass~": 0.1, "glas~": 0.6, "idio~": 0.85, "diot": 0.3, "λογος": 0.5, "you": 0.2}
+    scorer = toxicity.Scorer({"characters": characters, "features": found, "base": 0.01})
+    every = toxicity.Scorer({"characters": characters, "features": found, "base": 0.01})
+    every._suspects = lambda cp, start, end: (start, end)
+    rng = random.Random(12)
+    parts = ["idiot", "you", "nitwit", "nniitt", "fool", "glass", "glas", "ΛΟΓΟΣ", "λογος", "İdiot", "the", "i", "t", "idi", "ot", "a"]
+    signs = ["—", "–", "…", "’", "·", "、", "\U0001F600", "2", "!", "1", "11", "0", "@", "$", ".", "-", "*", "\u0301", "", "", "+", "€", " ", ","]
+    texts = ["you—idiot", "idiot—you", "the…fool", "a’idiot", "1idiot", "xx!idiot!xx", "x2nitwit2x", "ΛΟΓΟΣ", "the、idiot。", "foool!!the"]
+    texts += ["".join(rng.choice(parts) + rng.choice(signs) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    texts += ["".join(rng.choice(signs) + rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(2000)]
+    got, expected = scorer(texts), every(texts)
+    assert [(t, g, e) for t, g, e in zip(texts, got.tolist(), expected.tolist()) if g != e] == []
+    assert (got[:2] > 0.5).all()
+
+
 # --- lines
 
 def test_line_dedup(spark, odd_docs, no_docs):

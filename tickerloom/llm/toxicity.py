@@ -12,9 +12,11 @@ toxic places stand for themselves; a toxic text without any of them gives its cr
 the best of its other features.  Words known from clean texts are exceptions to strong
 beginnings.  A word scores by the longest feature known of it, a text as its worst word.
 
-All readings of a unit share a skeleton (similar signs as one, repetitions once, signs in between
-dropped).  A unit is decoded only if the skeleton of a feature begins or equals its own,
-so the pass over the corpus runs on arrays; the result is the same as decoding all units.
+All readings of a word share a skeleton (similar signs as one, repetitions once, signs in between
+dropped).  A word of a unit starts at the unit's start, after a sign that is always read as a
+blank or after one that may be, and ends alike.  A unit is decoded only if the skeleton of a
+feature equals that of such a stretch or begins it, so the pass over the corpus runs on arrays;
+the result is the same as decoding all units.
 Texts are never shuffled.
 """
 
@@ -70,13 +72,14 @@ _MARK_BITS = 24
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point: model class, skeleton, part of a unit, letter."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: model class, skeleton, part of a unit, letter, always read as a blank."""
     n = units.CODE_POINTS
     model = np.zeros(n, np.int64)
     skeleton = np.zeros(n, np.uint32)
     letter = np.zeros(n, bool)
     inside = np.ones(n, bool)
+    blank = np.zeros(n, bool)
     # A sign that stands for two letters makes them one in a skeleton.
     stands = {c: letters[0] for letters in SIGNS.values() if len(letters) > 1 for c in letters}
     for c in range(n):
@@ -85,12 +88,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             low = char.lower()[0]
             letter[c] = True
             model[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + c % 5
-            skeleton[c] = ord(stands.get(low, low))
-        elif char.isspace() or char in SEPARATORS:
+            # A last sigma is written in two ways, by what follows.
+            skeleton[c] = ord(stands.get(low, "σ" if low == "ς" else low))
+            # Lower case of one letter (İ) is two signs, and the second is no letter.
+            blank[c] = len(char.lower()) > 1
+        else:
+            blank[c] = char not in SIGNS and char not in DROPPED
+        if not letter[c] and (char.isspace() or char in SEPARATORS):
             inside[c] = False
     for sign, letters in SIGNS.items():
         skeleton[ord(sign)] = ord(stands.get(letters[0], letters[0]))
-    return model, skeleton, inside, letter
+    return model, skeleton, inside, letter, blank
 
 
 def _class(char: str) -> int:
@@ -226,6 +234,7 @@ class Scorer:
             else:
                 whole.add(own)
         self.lengths = sorted({len(f) for f in self.scores if not f.endswith("~") and len(f) >= SINGLES})
+        self.sizes = sorted({len(w) for w in whole})
         self.whole = Sieve(_names(whole))
         self.parts = {n: Sieve(_names(p)) for n, p in parts.items()}
 
@@ -253,35 +262,46 @@ class Scorer:
         return max(found, default=0.0)
 
     def _suspects(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Units whose skeleton, with or without signs at its ends, is or begins like that of a feature."""
-        _, shape, inside, letter = _tables()
+        """Units with a stretch, between ends and signs that may be blanks, whose skeleton is or begins like a feature's."""
+        _, shape, inside, letter, blank = _tables()
         values = shape[cp]
-        kept = inside[cp] & (values > 0)
-        at = np.flatnonzero(kept)
-        unit = np.searchsorted(start, at, side="right")
-        own = values[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (own[1:] != own[:-1]) | (unit[1:] != unit[:-1])
-        upto = np.concatenate(([0], np.cumsum(new)))
-        place = np.concatenate(([0], np.cumsum(kept)))
-        hasher = units.Hasher(own[new])
+        at = np.flatnonzero(inside[cp] & (values > 0))
         found = np.zeros(len(start), bool)
-        lettered = np.flatnonzero(letter[cp])
-        low = np.searchsorted(lettered, start)
-        high = np.searchsorted(lettered, end)
-        has = high > low
-        if len(lettered):
-            inner_start = np.where(has, lettered[np.minimum(low, len(lettered) - 1)], start)
-            inner_end = np.where(has, lettered[np.maximum(high - 1, 0)] + 1, end)
-        else:
-            inner_start, inner_end = start, end
-        for s, e in ((start, end), (inner_start, inner_end)):
-            a, b = upto[place[s]], upto[place[e]]
-            full = np.flatnonzero(b > a)
-            found[full[self.whole.find(hasher.of(a[full], b[full]))[0]]] = True
-            for n, sieve in self.parts.items():
-                long = np.flatnonzero(b - a >= n)
-                found[long[sieve.find(hasher.of(a[long], a[long] + n))[0]]] = True
+        if not len(at):
+            return start[found], end[found]
+        own, unit = values[at], np.searchsorted(start, at, side="right") - 1
+        # A part lies between signs that are blanks always; a letter read as itself and a blank ends one.
+        part = unit + np.cumsum(blank[cp])[at] - blank[cp[at]]
+        opens = np.ones(len(at), bool)
+        opens[1:] = part[1:] != part[:-1]
+        new = opens.copy()
+        new[1:] |= own[1:] != own[:-1]
+        run = np.cumsum(new) - 1
+        sign = ~letter[cp[at]]
+        may_start, may_end = opens.copy(), np.ones(len(at), bool)
+        may_start[1:] |= sign[:-1]
+        may_end[:-1] = opens[1:] | sign[1:]
+        hasher = units.Hasher(own[new])
+        number = np.cumsum(opens) - 1
+        last = np.append(np.flatnonzero(opens)[1:], len(at)) - 1
+        first = np.flatnonzero(may_start)
+        a, b = run[first], run[last[number[first]]] + 1
+
+        def mark(which: np.ndarray, stop: np.ndarray, sieve: Sieve) -> None:
+            found[unit[first[which[sieve.find(hasher.of(a[which], stop))[0]]]]] = True
+
+        mark(np.arange(len(first)), b, self.whole)
+        for n, sieve in self.parts.items():
+            long = np.flatnonzero(b - a >= n)
+            mark(long, a[long] + n, sieve)
+        # Ends inside a part, after a run of equal signs, by the lengths of features.
+        ends = np.zeros(run[-1] + 2, bool)
+        ends[run[may_end] + 1] = True
+        inner = np.flatnonzero(np.bincount(number[may_end], minlength=number[-1] + 1)[number[first]] > 1)
+        for n in self.sizes:
+            here = inner[b[inner] - a[inner] > n]
+            here = here[ends[a[here] + n]]
+            mark(here, a[here] + n, self.whole)
         return start[found], end[found]
 
 
