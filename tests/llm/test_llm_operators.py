@@ -242,6 +242,29 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(used[2], 3 * chances[2, 0] / (chances[2, 0] + split))
 
 
+def test_expected_counts_of_long_words():
+    vocabulary_ = [b"a", b"b", b"ab", b"ba", b"aba", *(bytes([c]) for c in range(99, 102))]
+    lattice = language_id.Lattice(vocabulary_)
+    rng = np.random.default_rng(2)
+    chances = np.append(rng.random(len(vocabulary_)), 0.0)
+
+    def brute(word):
+        upto, after, used = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0], np.zeros(len(vocabulary_))
+        found = [(a, a + len(p), i) for a in range(len(word)) for i, p in enumerate(vocabulary_) if word.startswith(p, a)]
+        for a, b, i in found:
+            upto[b] += upto[a] * chances[i]
+        for a, b, i in reversed(found):
+            after[a] += chances[i] * after[b]
+        for a, b, i in found:
+            used[i] += upto[a] * chances[i] * after[b] / upto[-1]
+        return used
+    for word in (b"abc" * 9, b"c" * 40 + b"abaab" * 3, b"abaabab" * 9 + b"e", b"d" * 30 + b"abcabaeab" * 12, b"ababa" * 40):
+        assert np.allclose(lattice.expected([word, word], np.array([3.0, 1.0]), chances), 4 * brute(word))
+    rare = b"abcde" * 120
+    used = lattice.expected([rare], np.array([1.0]), chances * 1e-4)
+    assert np.isclose(used @ [len(p) for p in vocabulary_], len(rare))
+
+
 def test_language(spark, odd_docs, no_docs):
     rng = random.Random(4)
     kinds = {"en": "the of and with that this from".split(), "fr": "le la des avec pour que dans".split()}

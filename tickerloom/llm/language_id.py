@@ -102,8 +102,8 @@ class Lattice:
             found[own - 1, length - 1] = level.reshape(len(own), n)
         return found
 
-    def forward(self, places: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over all segmentations of each beginning, scaled, and the logarithms of the scales.
+    def forward(self, places: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sums over all segmentations of each beginning, scaled, and the logarithm of each beginning's scale.
 
         ``chances`` has a row for each piece and one of zeros; its other axes are kept.
         """
@@ -111,7 +111,7 @@ class Lattice:
         tail = chances.shape[1:] if chances.ndim > 1 else ()
         upto = np.zeros((size + 1, n, *tail))
         upto[0] = 1
-        scale = np.zeros((n, *tail))
+        scales = [np.zeros((n, *tail))] * (size + 1)
         for b in range(1, size + 1):
             for length in range(1, min(LONGEST, b) + 1):
                 upto[b] += upto[b - length] * chances[places[b - 1, length - 1]]
@@ -119,15 +119,31 @@ class Lattice:
                 low = max(0, b - LONGEST)
                 top = upto[low: b + 1].max(axis=0)
                 upto[low: b + 1] /= top
-                scale += np.log(top)
-        return upto, scale
+                scales[low:] = [scales[b] + np.log(top)] * (size + 1 - low)
+        return upto, scales
+
+    def backward(self, places: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The same of each end, in one language."""
+        size, _, n = places.shape
+        after = np.zeros((size + 1, n))
+        after[size] = 1
+        scales = [np.zeros(n)] * (size + 1)
+        for b in range(size - 1, -1, -1):
+            for length in range(min(LONGEST, size - b), 0, -1):
+                after[b] += after[b + length] * chances[places[b + length - 1, length - 1]]
+            if (size - b) % _LONG_WORD == 0:
+                high = min(size, b + LONGEST)
+                top = after[b: high + 1].max(axis=0)
+                after[b: high + 1] /= top
+                scales[:high + 1] = [scales[b] + np.log(top)] * (high + 1)
+        return after, scales
 
     def log_probability(self, words: list[bytes], chances: np.ndarray) -> np.ndarray:
         """A row for each word with its logarithm of the probability in each language."""
         out = np.empty((len(words), chances.shape[1]))
         for at in _same_length(words):
-            upto, scale = self.forward(self.places([words[i] for i in at]), chances)
-            out[at] = np.log(upto[-1]) + scale
+            upto, scales = self.forward(self.places([words[i] for i in at]), chances)
+            out[at] = np.log(upto[-1]) + scales[-1]
         return out
 
     def expected(self, words: list[bytes], weights: np.ndarray, chances: np.ndarray) -> np.ndarray:
@@ -135,18 +151,22 @@ class Lattice:
         total = np.zeros(self.pieces + 1)
         for at in _same_length(words):
             places = self.places([words[i] for i in at])
-            upto, _ = self.forward(places, chances)
             size = len(places)
-            after = np.zeros_like(upto)
-            after[size] = 1
-            for b in range(size, 0, -1):
-                for length in range(1, min(LONGEST, b) + 1):
-                    after[b - length] += after[b] * chances[places[b - 1, length - 1]]
+            upto, scales = self.forward(places, chances)
+            after, after_scales = self.backward(places, chances)
             share = weights[at] / upto[size]
             for b in range(1, size + 1):
                 for length in range(1, min(LONGEST, b) + 1):
                     own = places[b - 1, length - 1]
-                    total += np.bincount(own, upto[b - length] * chances[own] * after[b] * share, len(total))
+                    if size < _LONG_WORD:
+                        used = upto[b - length] * chances[own] * after[b] * share
+                    else:
+                        # Positions have scales of their own; the product is at most 1, its factors may be beyond doubles.
+                        with np.errstate(divide="ignore"):
+                            used = weights[at] * np.exp(
+                                np.log(upto[b - length]) + scales[b - length] + np.log(chances[own]) + np.log(after[b])
+                                + after_scales[b] - np.log(upto[size]) - scales[size])
+                    total += np.bincount(own, used, len(total))
         return total[:-1]
 
 
