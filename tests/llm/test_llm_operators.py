@@ -469,6 +469,20 @@ def test_top_k(spark):
     assert 350 not in got and topk_search.top_k(table.filter("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [70_000.0, 1.0]), (1, [80_000.0, 0.0]), (2, [90_000.0, -1.0]), (3, [8e6, 0.0]), (4, [9e6, 5.0]), (5, [-1e5, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk_search.top_k(table, F.col("vec_id") == 0).orderBy("rank").collect()]
+    whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in rows}
+    best = {i: sum(a * b for a, b in zip(whole[0], v)) for i, v in whole.items() if i}
+    assert got == sorted(best.items(), key=lambda x: (-x[1], x[0]))
+    large = np.array([[1 << 40, 1 << 40], [3, 5]])
+    assert topk_search._exact(large, np.array([[1 << 22, 7 - (1 << 22)]])).tolist() == [[7 << 40, 35 - (2 << 22)]]
+    for x, y in (([1 << 40], [1 << 40]), ([1 << 62], [2])):
+        with pytest.raises(OverflowError):
+            topk_search._exact(np.array([x]), np.array([y]))
+
+
 def test_scatter_equals_product():
     rng = np.random.default_rng(3)
     q = rng.integers(-5, 5, (7, 12)) * (rng.random((7, 12)) < 0.4)

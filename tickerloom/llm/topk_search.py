@@ -26,8 +26,8 @@ SCALE = 256
 K = 5
 #: Queries of one block; a score array has one row per candidate and one column per query.
 QUERY_BLOCK = 256
-#: Components beyond this size are cut to it, so that sums stay within 64 bits.
-LIMIT = 1 << 24
+#: Sizes that 64 bits hold; components and scores beyond are refused.
+LIMIT = 1 << 63
 
 
 def _packed(scale: int, most: int, batches: Batches) -> Batches:
@@ -42,7 +42,10 @@ def _packed(scale: int, most: int, batches: Batches) -> Batches:
             for a in range(0, len(all_rows), most):
                 rows = all_rows[a: a + most]
                 values = np.floor(np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), size) * scale)
-                matrix = np.clip(values, -LIMIT, LIMIT).astype("<i4")
+                largest = np.abs(values).max(initial=0)
+                if largest >= LIMIT:
+                    raise OverflowError(f"a component times {scale} does not fit 64 bits")
+                matrix = values.astype("<i4" if largest < 1 << 31 else "<i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([next(numbers)]), pa.array([size]), pa.array([ids[rows].astype("<i8").tobytes()]),
                      pa.array([matrix.tobytes()])], ["block", "size", "ids", "matrix"])
@@ -68,13 +71,32 @@ def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return total
 
 
+def _matrix(data: bytes, rows: int, size: int) -> np.ndarray:
+    """A block's numbers, which have 4 bytes each if all fit."""
+    return np.frombuffer(data, "<i4" if len(data) == 4 * rows * size else "<i8").reshape(rows, size).astype(np.int64)
+
+
+def _exact(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The scores of a block, in numbers of any size where 64 bits might not do."""
+    if not len(queries) or not len(candidates):
+        return _scores(queries, candidates)
+    # Twice the bound, as doubles round it.
+    bound = np.abs(queries.astype(np.float64)).max(axis=0) @ np.abs(candidates.astype(np.float64)).max(axis=0)
+    if 2 * bound < LIMIT:
+        return _scores(queries, candidates)
+    total = candidates.astype(object) @ queries.T.astype(object)
+    if any(abs(x) >= LIMIT for x in total.flat):
+        raise OverflowError("a score does not fit 64 bits")
+    return total.astype(np.int64)
+
+
 def _best(k: int, batches: Batches) -> Batches:
     for batch in batches:
         found: list[tuple[int, int, int]] = []
         for row in batch.to_pylist():
             q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-            total = _scores(np.frombuffer(row["q_matrix"], "<i4").reshape(len(q_ids), -1).astype(np.int64),
-                            np.frombuffer(row["matrix"], "<i4").reshape(len(c_ids), -1).astype(np.int64))
+            total = _exact(_matrix(row["q_matrix"], len(q_ids), row["size"]),
+                           _matrix(row["matrix"], len(c_ids), row["size"]))
             order = np.argsort(c_ids, kind="stable")
             ids, total = c_ids[order], total[order]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
@@ -100,6 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     or holding null or a number that is not finite take no part; vectors of different
     lengths never meet; empty ones score 0 with one another.  Rows that share an id are one
     item: a query's best score with any of them counts, and so do queries that share one.
+    Scores are exact; a component or score that 64 bits do not hold fails the query.
     Other columns are left out; no rows give no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
@@ -113,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         "size", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     # Every block of candidates is listed by its number; each query block goes to all of them.
     listed = candidates.groupBy("size").agg(F.collect_list("block").alias("all_blocks"))
-    dealt = queries.join(listed, "size").select("q_ids", "q_matrix", F.explode("all_blocks").alias("block"))
+    dealt = queries.join(listed, "size").select("size", "q_ids", "q_matrix", F.explode("all_blocks").alias("block"))
     parts = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = dealt.join(candidates.select("block", "ids", "matrix"), "block").repartition(parts)
     found = map_batches(pairs, partial(_best, k), "query_id long, vec_id long, score long")
