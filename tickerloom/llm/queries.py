@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm import (
     chat_format,
+    chat_repair,
     decontaminate,
+    html_extract,
     language_id,
     line_dedup,
     near_dup,
@@ -104,6 +106,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("n_blocks")
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return chat_repair.repair_digests(rows, present=F.col("present"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
@@ -186,11 +197,82 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    # Costs-to-finish as texts: the cost in nine digits, then the letters, so that the least text is the choice.
+    "op13_chat_repair": r"""
+        WITH RECURSIVE bits(i, k, v) AS (
+            SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+            UNION ALL SELECT i, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM bits WHERE k < 8),
+        tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+        o AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+            FROM conversations),
+        w AS (
+            SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                   list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS way
+            FROM o CROSS JOIN tab),
+        m AS (
+            SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE way WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM w),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p,
+                     trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM m),
+        f AS (
+            SELECT *, CASE WHEN seen = '' THEN 1
+                           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2
+                           WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                   left(role, 1) AS i, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS j
+            FROM r),
+        n AS (
+            SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+                   count(*) FILTER (WHERE fault = 3) AS truncated,
+                   count(*) FILTER (WHERE j IS NOT NULL AND i || j NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv_id),
+        dp(conv_id, p, z, s, u, a) AS (
+            SELECT conv_id, rows + 1, {'k': '000000000', 't': ''}, {'k': '000000004II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)},
+                   {'k': '000000002I', 't': 'assistant:' || chr(10)}, {'k': '000000000', 't': ''} FROM n
+            UNION ALL
+            SELECT conv_id, p, least(z, struct_pack(k := printf('%09d', CAST(left(least(u, ia).k, 9) AS BIGINT) + 2) || 'I' || least(u, ia).k[10:],
+                                                    t := 'user:' || chr(10) || least(u, ia).t)),
+                   least(s, struct_pack(k := printf('%09d', CAST(left(least(u, ia).k, 9) AS BIGINT) + 2) || 'I' || least(u, ia).k[10:],
+                                        t := 'user:' || chr(10) || least(u, ia).t)),
+                   least(u, ia), least(a, iu)
+            FROM (
+                SELECT *, struct_pack(k := printf('%09d', CAST(left(a.k, 9) AS BIGINT) + 2) || 'I' || a.k[10:],
+                                      t := 'assistant:' || chr(10) || a.t) AS ia,
+                          struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + 2) || 'I' || u.k[10:],
+                                      t := 'user:' || chr(10) || u.t) AS iu
+                FROM (
+                    SELECT dp.conv_id, f.p,
+                           list_min([struct_pack(k := printf('%09d', CAST(left(z.k, 9) AS BIGINT) + 3) || 'D' || z.k[10:], t := z.t),
+                                CASE WHEN fault IN (0, 3) AND i = 's' THEN struct_pack(k := printf('%09d', CAST(left(s.k, 9) AS BIGINT) + (fault = 3)::INT) || 'K' || s.k[10:], t := role || ':' || text || chr(10) || s.t) END,
+                                CASE WHEN fault IN (0, 3) AND i = 'u' THEN struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + (fault = 3)::INT) || 'K' || u.k[10:], t := role || ':' || text || chr(10) || u.t) END,
+                                CASE WHEN fault IN (0, 3) THEN struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + 2 + (fault = 3)::INT) || 'R' || u.k[10:], t := 'user:' || text || chr(10) || u.t) END]) AS z,
+                           list_min([struct_pack(k := printf('%09d', CAST(left(s.k, 9) AS BIGINT) + 3) || 'D' || s.k[10:], t := s.t),
+                                CASE WHEN fault IN (0, 3) AND i = 'u' THEN struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + (fault = 3)::INT) || 'K' || u.k[10:], t := role || ':' || text || chr(10) || u.t) END,
+                                CASE WHEN fault IN (0, 3) THEN struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + 2 + (fault = 3)::INT) || 'R' || u.k[10:], t := 'user:' || text || chr(10) || u.t) END]) AS s,
+                           list_min([struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + 3) || 'D' || u.k[10:], t := u.t),
+                                CASE WHEN fault IN (0, 3) AND i = 'a' THEN struct_pack(k := printf('%09d', CAST(left(a.k, 9) AS BIGINT) + (fault = 3)::INT) || 'K' || a.k[10:], t := role || ':' || text || chr(10) || a.t) END,
+                                CASE WHEN fault IN (0, 3) THEN struct_pack(k := printf('%09d', CAST(left(a.k, 9) AS BIGINT) + 2 + (fault = 3)::INT) || 'R' || a.k[10:], t := 'assistant:' || text || chr(10) || a.t) END]) AS u,
+                           list_min([struct_pack(k := printf('%09d', CAST(left(a.k, 9) AS BIGINT) + 3) || 'D' || a.k[10:], t := a.t),
+                                CASE WHEN fault IN (0, 3) AND i = 'u' THEN struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + (fault = 3)::INT) || 'K' || u.k[10:], t := role || ':' || text || chr(10) || u.t) END,
+                                CASE WHEN fault IN (0, 3) THEN struct_pack(k := printf('%09d', CAST(left(u.k, 9) AS BIGINT) + 2 + (fault = 3)::INT) || 'R' || u.k[10:], t := 'user:' || text || chr(10) || u.t) END]) AS a
+                    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.p = dp.p - 1) b) c)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(CAST(left(z.k, 9) AS BIGINT), 0) AS cost, coalesce(z.k[10:], '') AS audit,
+               sha256(coalesce(left(z.t, greatest(length(z.t) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.p = 1""",
 }
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_topk_search, op2_url_filter, op3_language_id, op4_toxicity, op5_near_dup, op6_sharding, op7_packing,
-    op8_line_dedup, op9_chat_format, op10_decontaminate)}
+    op8_line_dedup, op9_chat_format, op10_decontaminate, op11_html_extract, op13_chat_repair)}
 
 
 def queries() -> dict[str, Query]:
