@@ -39,11 +39,11 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "option": ({"option"}, {"select"})}
 
 #: Scores of elements and roles around a block (log-odds of content).
-LANDMARKS = {"article": 4.0, "main": 4.0, "nav": -6.0, "aside": -5.0, "footer": -5.0, "header": -4.0, "form": -5.0,
-             "dialog": -5.0, "menu": -4.0, "select": -6.0, "button": -6.0, "noscript": -6.0, "svg": -6.0, "template": -6.0,
-             "canvas": -6.0, "object": -6.0, "audio": -6.0, "video": -6.0}
-ROLES = {"main": 4.0, "article": 4.0, "navigation": -6.0, "banner": -4.0, "contentinfo": -5.0, "complementary": -5.0,
-         "search": -6.0, "dialog": -6.0, "alertdialog": -6.0, "alert": -4.0, "menu": -6.0, "menubar": -6.0, "form": -5.0}
+LANDMARKS = {"article": 6.0, "main": 6.0, **dict.fromkeys(
+    "nav aside footer form dialog menu select button noscript svg template canvas object audio video".split(), -8.0),
+    "header": -6.0}
+ROLES = {"main": 6.0, "article": 6.0, "banner": -6.0, "alert": -6.0, **dict.fromkeys(
+    "navigation contentinfo complementary search dialog alertdialog menu menubar form".split(), -8.0)}
 #: Words of classes and ids.
 GOOD = frozenset("article articlebody blogpost content entry main maincontent post story".split())
 BAD = frozenset("""ad ads advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs consent
@@ -53,14 +53,15 @@ BAD = frozenset("""ad ads advert adverts advertisement advertising advertorial a
     toolbar topbar topnav widget widgets""".split())
 TALK = frozenset("comment commentlist comments discussion disqus reactions replies reply respond responses".split())
 NEGATED = frozenset("has no with without".split())
-CLASS_GOOD, CLASS_BAD, HIDDEN, TALKED = 2.0, -6.0, -8.0, -8.0
+CLASS_GOOD, CLASS_BAD, HIDDEN, TALKED = 3.0, -8.0, -9.0, -9.0
 
 #: Scores of a block's own element and text.
 TAGS = {"p": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "legend": -2.0, "caption": 0.5}
 LINKED, SHORT, LONG, LONGER, SENTENCE, RIGHTS = -4.0, -0.5, 1.0, 2.0, 0.5, -2.0
 
-#: Capacity of an edge between neighbours at tree distance d is ``NEAR / d``, inside one container ``SAME``.
-NEAR, SAME = 3.0, 1.0
+#: Capacity of an edge between neighbours at tree distance d is ``NEAR / d``, inside one container ``SAME``.  The
+#: edges of a block weigh less than the names around it, more than its length.
+NEAR, SAME = 2.0, 0.5
 #: Capacities are whole numbers: scores in thousandths.
 UNIT = 1000
 
