@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm import (
     chat_format,
     chat_repair,
+    collocations,
     decontaminate,
     html_extract,
     language_id,
@@ -110,6 +111,10 @@ def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("n_blocks")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents")).drop("k")
+
+
 def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_repair.damaged(_table(spark, sf_dir, "conversations"))
     return chat_repair.repair_digests(rows, present=F.col("present"))
@@ -197,6 +202,34 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op12_collocations": f"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")},
+                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        o AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m)
+              WHERE len(w) >= m),
+        f AS MATERIALIZED (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, any_value(m) AS m, count(*) AS f FROM o GROUP BY 1, 2),
+        t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, g, m, f AS a, string_split(g, ' ') AS v FROM f WHERE m > 1 AND f >= 30),
+        parts AS MATERIALIZED (
+            SELECT lang, g, a, k, array_to_string(v[1:k], ' ') AS head, array_to_string(v[k + 1:m], ' ') AS tail
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+        cut AS (
+            SELECT p.lang, p.g, p.a, p.k, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * p.a // (l.f + r.f) AS score,
+                   row_number() OVER (PARTITION BY p.lang, p.g ORDER BY CAST(2000000 AS HUGEINT) * p.a // (l.f + r.f), p.k) AS q
+            FROM parts p JOIN f l ON l.lang = p.lang AND l.g = p.head JOIN f r ON r.lang = p.lang AND r.g = p.tail),
+        sub AS MATERIALIZED (
+            SELECT lang, a, array_to_string(v[b:e], ' ') AS g
+            FROM (SELECT *, unnest(range(b + 1, m + 1)) AS e FROM (SELECT *, unnest(range(1, m)) AS b FROM c))
+            WHERE e - b + 1 < m),
+        inside AS (SELECT DISTINCT c.lang, c.g FROM sub x JOIN c ON c.lang = x.lang AND c.g = x.g WHERE 100 * x.a >= 80 * c.a),
+        k AS (
+            SELECT lang, g AS phrase, a, l, r, score,
+                   row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank
+            FROM cut ANTI JOIN inside USING (lang, g) WHERE q = 1)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000""",
     # Costs-to-finish as texts: the cost in nine digits, then the letters, so that the least text is the choice.
     "op13_chat_repair": r"""
         WITH RECURSIVE bits(i, k, v) AS (
@@ -272,7 +305,8 @@ ORACLE: dict[str, str] = {
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_topk_search, op2_url_filter, op3_language_id, op4_toxicity, op5_near_dup, op6_sharding, op7_packing,
-    op8_line_dedup, op9_chat_format, op10_decontaminate, op11_html_extract, op13_chat_repair)}
+    op8_line_dedup, op9_chat_format, op10_decontaminate, op11_html_extract, op12_collocations,
+    op13_chat_repair)}
 
 
 def queries() -> dict[str, Query]:
