@@ -99,6 +99,49 @@ def test_periods_and_resumed_state_give_the_same_ledger(spark, tmp_path):
     assert sorted(got, key=lambda r: r[0]) == whole
 
 
+def _plain(rows, balances, positions=()):
+    """Trades folded one after the other."""
+    books, out = {}, {}
+    for u, b in balances.items():
+        books[u] = L._Book(u)
+        books[u].balance = b
+    for u, s, q, p in positions:
+        books[u].positions[s] = (q, p)
+    for i, (u, s, side, q, p) in enumerate(rows):
+        book = books.setdefault(u, L._Book(u))
+        out[i] = (*book.apply(s, side, float(q), float(p)), book.balance, *book.positions.get(s, (0.0, 0.0)))
+    return out
+
+
+@pytest.mark.parametrize("balance, rounds", [(300.0, 99), (1e9, 4)])
+def test_a_user_with_most_trades_lies_in_many_stretches(spark, monkeypatch, balance, rounds):
+    """User 2 owns half of all trades and waits in several stretches; user 9 has no balance."""
+    rnd = random.Random(3)
+    sides = L.SIDES if balance < 1e6 else ["BUY", "SHORT"] * 6 + ["SELL", "COVER"]
+    symbol = {"BUY": "ABC", "SELL": "ABC", "SHORT": "XY", "COVER": "XY"} if balance >= 1e6 else dict.fromkeys(L.SIDES, "AX")
+    rows = []
+    for _ in range(600):
+        side = rnd.choice(sides)
+        rows.append((rnd.choice([1, 2, 2, 2, 3, 9]), rnd.choice(symbol[side]), side, rnd.randint(1, 5), rnd.randint(1, 40) / 4))
+    start, held = {1: balance, 2: balance, 3: balance}, [(2, "A", 7.0, 3.5), (2, "Z", -4.0, 2.0)]
+    positions = spark.createDataFrame([(2, "A", "LONG", 7.0, 3.5), (2, "Z", "SHORT", 4.0, 2.0)],
+                                      "user_id bigint, symbol string, side string, quantity double, avg_cost double")
+    folds, fold = [], L._folded
+    monkeypatch.setattr(L, "_folded", lambda df, open_only=False: folds.append(df) or fold(df, open_only))
+    ledger = L.replay_trades(trades(spark, rows), users(spark, u1=balance, u2=balance, u3=balance), positions, stretches=6)
+    stretches = ledger.filter("user_id = 2").groupBy(F.shiftright("seq", L._STRETCH_BITS).alias("s")).count().collect()
+    assert len(stretches) >= 3 and max(r["count"] for r in stretches) < 200 and len(folds) <= rounds
+    want, got = _plain(rows, start, held), ledger.filter("status <> 'OPENING'").collect()
+    assert len(got) == len(rows) and ledger.filter("status = 'OPENING'").count() == 5
+    for r in got:
+        reason, entry, pnl, left, quantity, cost = want[r["trade_id"]]
+        assert r["reject_reason"] == reason and r["position_after"] == quantity, r
+        for found, value in ((r["entry_price"], entry), (r["realized_pnl"], pnl), (r["balance_after"], left), (r["avg_cost_after"], cost)):
+            assert found == (None if value is None else pytest.approx(value, abs=1e-6))
+    order = [r["trade_id"] for r in ledger.filter("user_id = 2 AND status <> 'OPENING'").orderBy("seq").collect()]
+    assert order == sorted(order)
+
+
 def test_one_sided(spark):
     rows = trades(spark, [(1, "A", "x", 1, 1)])
     assert L.one_sided(rows, "BUY").first()["side"] == "BUY"

@@ -1,12 +1,17 @@
 """Trade replay: balances, positions and accepted or rejected trades per user.
 
-Each decision depends on the balance left by all earlier trades of the same
-user, so a user is the unit of parallel work.  Rows are hash-partitioned by user
-and sorted inside the partition; the fold then reads Arrow batches one after the
-other and keeps only a balance and the open positions.  A user with very many
-trades is streamed, never gathered.  ``replay_by_period`` also cuts the time axis,
-so one task sees one user's trades of one period and the state between periods is
-a written table.
+Each decision depends on the balance left by all earlier trades of the same user, and yet no
+task reads a whole user.  Rows are dealt by range of (user, time), so a user with many trades
+lies in many stretches, one for each task.  A user whose opening row is in a stretch is
+folded there.  The one user at most who comes into a stretch from the one before is folded
+from a guess of the balance and the positions at its border: all trades of the stretches
+before accepted.  The folded stretches tell by how much each changed the state; sums over
+the stretches before give the next guess, and stretches whose guess changed are folded again.
+When nothing changes, every stretch starts from what the one before left.  A user in k
+stretches takes at most k rounds; as long as few trades are rejected, two or three.
+
+``replay_by_period`` also cuts the time axis by calendar, with the state between periods a
+written table, so that a ledger can go on from there.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tickerloom.plans.stored import stored
 from tickerloom.session import shared_dir
 
 # Trade sides.
@@ -28,8 +35,14 @@ LEDGER_SCHEMA = (
     "price double, total_cost double, status string, reject_reason string, entry_price double, "
     "realized_pnl double, balance_after double, position_after double, avg_cost_after double, seq bigint"
 )
-# A user's opening balance and positions travel as rows that sort before trades.
-_BALANCE, _POSITION, _TRADE = 0, 1, 2
+# A user's opening balance and positions travel as rows that sort before trades; so does the
+# state at the border of a stretch, which gives no rows of the ledger.
+_BORDER_BALANCE, _BORDER_POSITION, _BALANCE, _POSITION, _TRADE = -2, -1, 0, 1, 2
+_ORDER = ("user_id", "kind", "ts", "trade_id", "symbol")
+#: Rows of a user are in the order of ``seq``: the stretch, then the place in it.
+_STRETCH_BITS = 40
+#: Guesses of one border that differ by less are one: sums in another order.
+TOLERANCE = 1e-9
 
 
 def check_requests(trades: DataFrame) -> DataFrame:
@@ -89,20 +102,27 @@ class _Book:
         return None, avg, pnl
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    book: _Book | None = None
+_NAMES = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
+_FOLDED = LEDGER_SCHEMA + ", kind int, stretch int"
+
+
+def _fold(batches: Iterator[pd.DataFrame], open_only: bool) -> Iterator[pd.DataFrame]:
+    """Ledger rows of rows sorted by user and order; ``open_only`` puts off the first user unless its opening row is there."""
+    book, stretch_of, waiting = None, None, False
     for batch in batches:
         out = []
-        columns = ("user_id", "kind", "trade_name", "ts", "symbol", "side", "quantity", "price", "reject_reason")
-        for user, kind, trade, ts, symbol, side, qty, price, early in zip(*(batch[c] for c in columns)):
-            if book is None or book.user_id != user:
-                book = _Book(user)
-            book.seq += 1
+        columns = ("user_id", "stretch", "kind", "trade_name", "ts", "symbol", "side", "quantity", "price", "reject_reason")
+        for user, stretch, kind, trade, ts, symbol, side, qty, price, early in zip(*(batch[c] for c in columns)):
+            if book is None or book.user_id != user or stretch_of != stretch:
+                waiting = open_only and book is None and kind != _BALANCE
+                book, stretch_of = _Book(user), stretch
             reason = entry = pnl = cost = None
             status = "OPENING"
-            if kind == _BALANCE:
+            if waiting:
+                reason, status = early if isinstance(early, str) else None, "WAITING"
+            elif kind in (_BALANCE, _BORDER_BALANCE):
                 book.balance = price
-            elif kind == _POSITION:
+            elif kind in (_POSITION, _BORDER_POSITION):
                 book.positions[symbol] = (qty, price)
             else:
                 if isinstance(early, str):
@@ -111,23 +131,25 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     reason, entry, pnl = book.apply(symbol, side, qty, price)
                 cost = qty * price
                 status = "REJECTED" if reason else "COMPLETED"
+            if kind < _BALANCE:
+                continue
+            book.seq += 1
             held, avg = book.positions.get(symbol, (0.0, 0.0))
             out.append((user, int(trade) if isinstance(trade, str) else None, ts, symbol, side, qty, price, cost, status, reason,
-                        entry, pnl, book.balance, held, avg, book.seq))
-        names = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
+                        entry, pnl, book.balance, held, avg, (stretch << _STRETCH_BITS) + book.seq, kind, stretch))
+        frame = pd.DataFrame(out, columns=[*_NAMES, "kind", "stretch"])
         # Ids beyond 2**53 do not survive a column of floats.
         frame["trade_id"] = pd.array([row[1] for row in out], dtype="Int64")
         yield frame
 
 
-def replay_trades(trades: DataFrame, users: DataFrame, positions: DataFrame | None = None) -> DataFrame:
-    """One ledger row per trade, plus one OPENING row per given balance and position.
+def _folded(rows: DataFrame, open_only: bool = False) -> DataFrame:
+    # Ids travel as text: pandas would read a column with nulls as floats.
+    named = rows.withColumn("trade_name", F.col("trade_id").cast("string")).drop("trade_id")
+    return named.mapInPandas(lambda batches: _fold(batches, open_only), _FOLDED)
 
-    ``trades(user_id, trade_id, ts, symbol, side, quantity, price)``,
-    ``users(user_id, balance)``, optional ``positions(user_id, symbol, side,
-    quantity, avg_cost)`` held before the first trade.
-    """
+
+def _opening_rows(trades: DataFrame, users: DataFrame, positions: DataFrame | None) -> DataFrame:
     columns = ["user_id", "kind", "trade_id", "ts", "symbol", "side", "quantity", "price", "reject_reason"]
     null = lambda t: F.lit(None).cast(t)
     opening = users.select(
@@ -143,10 +165,151 @@ def replay_trades(trades: DataFrame, users: DataFrame, positions: DataFrame | No
             null("timestamp").alias("ts"), "symbol", "side", signed.alias("quantity"),
             F.col("avg_cost").alias("price"), null("string").alias("reject_reason"),
         ))
-    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "kind", "ts", "trade_id", "symbol")
-    # Ids travel as text: pandas would read a column with nulls as floats.
-    named = ordered.withColumn("trade_name", F.col("trade_id").cast("string")).drop("trade_id")
-    return named.mapInPandas(_fold, LEDGER_SCHEMA)
+    return rows
+
+
+def replay_trades(trades: DataFrame, users: DataFrame, positions: DataFrame | None = None,
+                  stretches: int | None = None) -> DataFrame:
+    """One ledger row per trade, plus one OPENING row per given balance and position.
+
+    ``trades(user_id, trade_id, ts, symbol, side, quantity, price)``,
+    ``users(user_id, balance)``, optional ``positions(user_id, symbol, side,
+    quantity, avg_cost)`` held before the first trade.  ``stretches`` is the number of
+    tasks that the rows are dealt to (default: shuffle partitions).  Trades of a user
+    without a balance are rejected; rows of one time are taken by id, then symbol.
+    """
+    parts = stretches or int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _opening_rows(trades, users, positions)
+    dealt = rows.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER).withColumn(
+        "stretch", F.spark_partition_id())
+    first = stored(_folded(dealt, open_only=True), "ledger")
+    known, waiting = first.filter("status <> 'WAITING'"), first.filter("status = 'WAITING'")
+    # At most one user waits in a stretch.
+    borders = [(r.user_id, r.stretch) for r in waiting.select("user_id", "stretch").distinct().collect()]
+    if not borders:
+        return known.select(_NAMES)
+    return known.select(_NAMES).unionByName(_fold_waiting(known, waiting, borders).select(_NAMES))
+
+
+def _fold_waiting(known: DataFrame, waiting: DataFrame, borders: list[tuple[int, int]]) -> DataFrame:
+    """Stretches folded from guessed states, again until each begins with what the one before leaves."""
+    spark = known.sparkSession
+    places = spark.createDataFrame(borders, "user_id bigint, stretch int")
+    carried = known.join(F.broadcast(places.select("user_id").distinct()), "user_id", "left_semi")
+    start = balances(carried), _held(carried, ["user_id", "symbol"])
+    rows = waiting.select("user_id", "kind", "trade_id", "ts", "symbol", "side", "quantity", "price", "reject_reason", "stretch")
+
+    def fold(pieces: DataFrame) -> DataFrame:
+        return _folded(pieces.repartition(len(borders), "user_id", "stretch").sortWithinPartitions(
+            "user_id", "stretch", *_ORDER[1:]))
+
+    if len({user for user, _ in borders}) == len(borders):
+        # Nothing lies between these stretches and the known state.
+        return fold(rows.unionByName(_as_rows(places.join(start[0], "user_id"), "balance").unionByName(
+            _as_rows(places.join(start[1].filter("held <> 0"), "user_id"), "avg_cost", "held"))))
+    changes = _if_all_accepted(rows)
+    results: list[tuple[DataFrame, set[tuple[int, int]]]] = []
+    state, changed = None, set(borders)
+    while changed:
+        guess = _border_states(places, start, changes)
+        if state is not None:
+            changed = {(r.user_id, r.stretch) for r in _differing(state, guess).collect()}
+            if not changed:
+                break
+        state = stored(guess, "ledger_borders")
+        again = F.broadcast(spark.createDataFrame(sorted(changed), places.schema))
+        done = stored(fold(rows.unionByName(state).join(again, ["user_id", "stretch"], "left_semi").select(*rows.columns)),
+                      "ledger")
+        results = [(table, kept - changed) for table, kept in results] + [(done, changed)]
+        changes = _changes(_latest(results, places.schema), state)
+    return _latest(results, places.schema)
+
+
+def _as_rows(states: DataFrame, price: str, held: str | None = None) -> DataFrame:
+    """Balances, or positions with their signed quantity, as rows before the trades of a stretch."""
+    null = lambda t: F.lit(None).cast(t)
+    return states.select(
+        "user_id", F.lit(_BORDER_POSITION if held else _BORDER_BALANCE).alias("kind"), null("bigint").alias("trade_id"),
+        null("timestamp").alias("ts"), F.col("symbol") if held else null("string").alias("symbol"),
+        null("string").alias("side"), F.col(held) if held else null("double").alias("quantity"), F.col(price).alias("price"),
+        null("string").alias("reject_reason"), "stretch").withColumnsRenamed({held: "quantity"} if held else {})
+
+
+def _latest(results: list[tuple[DataFrame, set[tuple[int, int]]]], schema: StructType) -> DataFrame:
+    """Of each stretch the rows of its last round."""
+    out = None
+    for table, kept in results:
+        if kept:
+            of = F.broadcast(table.sparkSession.createDataFrame(sorted(kept), schema))
+            part = table.join(of, ["user_id", "stretch"], "left_semi")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _held(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """Signed quantity and average cost after the last accepted row of each key."""
+    return ledger.filter((F.col("status") != "REJECTED") & F.col("symbol").isNotNull()).groupBy(*keys).agg(
+        F.max_by("position_after", "seq").alias("held"), F.max_by("avg_cost_after", "seq").alias("avg_cost"))
+
+
+def _if_all_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each stretch does to balance and positions if every well-formed trade is accepted."""
+    good = rows.filter(F.col("reject_reason").isNull())
+    value, entry = F.col("quantity") * F.col("price"), F.col("side").isin("BUY", "SHORT")
+    trade = F.col("kind") == _TRADE
+    cash = good.groupBy("user_id", "stretch").agg(
+        F.sum(F.when(trade & entry, -value).when(trade, value)).alias("change"))
+    signed = F.when(~trade | F.col("side").isin("BUY", "COVER"), F.col("quantity")).otherwise(-F.col("quantity"))
+    opened = ~trade | entry
+    bought = F.sum(F.when(opened, F.abs("quantity")))
+    held = good.filter(F.col("symbol").isNotNull()).groupBy("user_id", "stretch", "symbol").agg(
+        F.sum(signed).alias("change"), (F.sum(F.when(opened, F.abs(value))) / F.nullif(bought, F.lit(0.0))).alias("avg_cost"))
+    return cash, held
+
+
+def _changes(ledger: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each stretch, as folded from ``state``, did to balance and positions."""
+    before = state.filter(F.col("kind") == _BORDER_BALANCE).select("user_id", "stretch", F.col("price").alias("before"))
+    left = ledger.groupBy("user_id", "stretch").agg(F.max_by("balance_after", "seq").alias("after"))
+    cash = left.join(before, ["user_id", "stretch"], "left").select(
+        "user_id", "stretch", (F.col("after") - F.col("before")).alias("change"))
+    had = state.filter(F.col("kind") == _BORDER_POSITION).select(
+        "user_id", "stretch", "symbol", F.col("quantity").alias("before"))
+    held = _held(ledger, ["user_id", "stretch", "symbol"]).join(had, ["user_id", "stretch", "symbol"], "left").select(
+        "user_id", "stretch", "symbol", (F.col("held") - F.coalesce("before", F.lit(0.0))).alias("change"),
+        F.when(F.col("held") != 0, F.col("avg_cost")).alias("avg_cost"))
+    return cash, held
+
+
+def _border_states(places: DataFrame, start: tuple[DataFrame, DataFrame], changes: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """State before each stretch as rows: the user's known state and the changes of the stretches before."""
+    before = Window.partitionBy("user_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cash = places.join(start[0], "user_id").join(changes[0], ["user_id", "stretch"], "left").select(
+        "user_id", "stretch", (F.col("balance") + F.coalesce(F.sum("change").over(before), F.lit(0.0))).alias("balance"))
+    symbols = start[1].select("user_id", "symbol").union(changes[1].select("user_id", "symbol")).distinct()
+    by = Window.partitionBy("user_id", "symbol").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    every = places.join(symbols, "user_id").join(changes[1], ["user_id", "stretch", "symbol"], "left").join(
+        start[1].withColumnRenamed("avg_cost", "first_cost"), ["user_id", "symbol"], "left")
+    held = every.select(
+        "user_id", "stretch", "symbol",
+        (F.coalesce("held", F.lit(0.0)) + F.coalesce(F.sum("change").over(by), F.lit(0.0))).alias("held"),
+        F.coalesce(F.last("avg_cost", ignorenulls=True).over(by), F.col("first_cost"), F.lit(0.0)).alias("avg_cost"),
+    ).filter("held <> 0")
+    return _as_rows(cash, "balance").unionByName(_as_rows(held, "avg_cost", "held"))
+
+
+def _differing(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stretches whose state differs by more than the order of sums explains."""
+    keys = ["user_id", "stretch", "kind", "symbol"]
+    a = old.select(*keys, F.col("quantity").alias("q0"), F.col("price").alias("p0"), F.lit(True).alias("was"))
+    b = new.select(*keys, F.col("quantity").alias("q1"), F.col("price").alias("p1"), F.lit(True).alias("now"))
+    same = lambda x, y: F.abs(x - y) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+    tests = [a[k].eqNullSafe(b[k]) for k in keys]
+    both = a.join(b, tests[0] & tests[1] & tests[2] & tests[3], "full").select(
+        F.coalesce(a["user_id"], b["user_id"]).alias("user_id"), F.coalesce(a["stretch"], b["stretch"]).alias("stretch"),
+        (F.col("was") & F.col("now") & same(F.col("p0"), F.col("p1"))
+         & (a["symbol"].isNull() | same(F.col("q0"), F.col("q1")))).alias("same"))
+    return both.filter(~F.coalesce("same", F.lit(False))).select("user_id", "stretch").distinct()
 
 
 def one_sided(requests: DataFrame, side: str) -> DataFrame:

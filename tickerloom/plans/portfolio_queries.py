@@ -24,20 +24,24 @@ def _keep(prefix: str, new: str) -> str:
                      for i in range(3))
 
 
-# Trades walked one per step for every user at once; a short position has negative quantity.
-LEDGER = f"""
+_SIDES = """CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'view' THEN 'SELL'
+              WHEN 'click' THEN 'SHORT' ELSE 'COVER' END"""
+
+
+def _ledger_sql(side: str = _SIDES, held: tuple[float, float, float] = (0, 0, 0), cost: float = 0) -> str:
+    """Trades walked one per step for every user at once; a short position has negative quantity."""
+    return f"""
 trades AS (
   SELECT user_id, event_id AS trade_id, ts, 'S' || (k % 3) AS symbol,
-         CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'view' THEN 'SELL'
-              WHEN 'click' THEN 'SHORT' ELSE 'COVER' END AS side,
+         {side} AS side,
          CAST(k % 10 + 1 AS DOUBLE) AS q, value AS p,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'signup')
 ),
 walk AS (
   SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS trade_id, CAST({BALANCE} AS DOUBLE) AS bal,
-         CAST(0 AS DOUBLE) AS h0, CAST(0 AS DOUBLE) AS h1, CAST(0 AS DOUBLE) AS h2,
-         CAST(0 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1, CAST(0 AS DOUBLE) AS a2,
+         {', '.join(f'CAST({h} AS DOUBLE) AS h{i}' for i, h in enumerate(held))},
+         {', '.join(f'CAST({cost if h else 0} AS DOUBLE) AS a{i}' for i, h in enumerate(held))},
          CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS entry, CAST(NULL AS DOUBLE) AS pnl
   FROM (SELECT DISTINCT user_id FROM events)
   UNION ALL
@@ -68,6 +72,9 @@ walk AS (
 )"""
 
 
+LEDGER = _ledger_sql()
+
+
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     return L.replay_trades(V.trades(spark, sf), V.trade_users(spark, sf, BALANCE))
 
@@ -85,11 +92,11 @@ def ledger_positions(spark: SparkSession, sf: str) -> DataFrame:
     return L.open_positions(_ledger(spark, sf))
 
 
-_LEDGER_ROWS = f"""WITH RECURSIVE {LEDGER}
-SELECT walk.user_id, walk.trade_id, symbol, side, q AS quantity, p AS price, q * p AS total_cost,
+_WALKED = """SELECT walk.user_id, walk.trade_id, symbol, side, q AS quantity, p AS price, q * p AS total_cost,
        CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'REJECTED' END AS status, reason AS reject_reason,
        entry AS entry_price, pnl AS realized_pnl, bal AS balance_after
 FROM walk JOIN trades ON walk.trade_id = trades.trade_id"""
+_LEDGER_ROWS = f"WITH RECURSIVE {LEDGER} {_WALKED}"
 
 
 def _ledger_rows(ledger: DataFrame) -> DataFrame:
@@ -110,6 +117,28 @@ def ledger_by_period(spark: SparkSession, sf: str) -> DataFrame:
         spark, V.trades(spark, sf), V.trade_users(spark, sf, BALANCE), unit="week"))
 
 
+@register(f"WITH RECURSIVE {_ledger_sql(side=chr(39) + 'BUY' + chr(39))} {_WALKED}")
+def buy_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests as buys; those beyond the balance are rejected."""
+    requests = V.trades(spark, sf).drop("side")
+    return _ledger_rows(L.replay_trades(L.one_sided(requests, "BUY"), V.trade_users(spark, sf, BALANCE)))
+
+
+#: Units of S0 and S1 that every user holds before the first sale, and their cost.
+HELD, COST = (60.0, 25.0, 0.0), 12.5
+
+
+@register(f"WITH RECURSIVE {_ledger_sql(side=chr(39) + 'SELL' + chr(39), held=HELD, cost=COST)} {_WALKED}")
+def sell_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests as sales out of given positions; those beyond them are rejected."""
+    requests, users = V.trades(spark, sf).drop("side"), V.trade_users(spark, sf, BALANCE)
+    held = F.explode(F.array(*[F.struct(F.lit(f"S{i}").alias("symbol"), F.lit(h).alias("quantity"))
+                               for i, h in enumerate(HELD) if h]))
+    positions = users.select("user_id", held.alias("h")).select(
+        "user_id", "h.symbol", F.lit("LONG").alias("side"), "h.quantity", F.lit(COST).alias("avg_cost"))
+    return _ledger_rows(L.replay_trades(L.one_sided(requests, "SELL"), users, positions))
+
+
 @register(f"""WITH RECURSIVE {LEDGER}
 SELECT walk.user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(pnl), 6) AS realized_pnl,
        count(*) AS exits
