@@ -113,8 +113,8 @@ def _plain(rows, balances, positions=()):
     return out
 
 
-@pytest.mark.parametrize("balance, rounds", [(300.0, 99), (1e9, 4)])
-def test_a_user_with_most_trades_lies_in_many_stretches(spark, monkeypatch, balance, rounds):
+@pytest.mark.parametrize("balance", [300.0, 1e9])
+def test_a_user_with_most_trades_lies_in_many_stretches(spark, monkeypatch, balance):
     """User 2 owns half of all trades and waits in several stretches; user 9 has no balance."""
     rnd = random.Random(3)
     sides = L.SIDES if balance < 1e6 else ["BUY", "SHORT"] * 6 + ["SELL", "COVER"]
@@ -130,7 +130,9 @@ def test_a_user_with_most_trades_lies_in_many_stretches(spark, monkeypatch, bala
     monkeypatch.setattr(L, "_folded", lambda df, open_only=False: folds.append(df) or fold(df, open_only))
     ledger = L.replay_trades(trades(spark, rows), users(spark, u1=balance, u2=balance, u3=balance), positions, stretches=6)
     stretches = ledger.filter("user_id = 2").groupBy(F.shiftright("seq", L._STRETCH_BITS).alias("s")).count().collect()
-    assert len(stretches) >= 3 and max(r["count"] for r in stretches) < 200 and len(folds) <= rounds
+    assert len(stretches) >= 3 and max(r["count"] for r in stretches) < 200
+    # Every stretch once, and again until the state at its border is known.
+    assert len(folds) <= 1 + len(stretches)
     want, got = _plain(rows, start, held), ledger.filter("status <> 'OPENING'").collect()
     assert len(got) == len(rows) and ledger.filter("status = 'OPENING'").count() == 5
     for r in got:
