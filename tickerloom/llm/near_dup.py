@@ -121,9 +121,9 @@ def _sketches(words: int, id_col: str, text_col: str, batches: Batches) -> Batch
                 for s in shingle_sets(texts_of(batch, text_col), words) for r in (sketch(s),)]
         n, digest, registers, keys = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+            [batch.column(id_col).cast(pa.int64()), batch.column("copy"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
              pa.array(registers, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n", "digest", "registers", "keys"])
+            ["doc_id", "copy", "n", "digest", "registers", "keys"])
 
 
 class _Forest:
@@ -228,15 +228,51 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     A row without id is kept, with a null component, and links nothing.  Rows that repeat an id are
     judged by their own text.  Other columns are left out; no rows give no rows.
     """
+    return _judged(docs, shingle_words, percent, id_col, text_col).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: of the smallest id, then of the smallest hash of its text.
+
+    Rows that repeat an id are judged by their own text, so an id may lose one text and
+    keep another; of rows with equal id and text one stays.  Rows without id and texts
+    without words all stay, repeats included.  Other columns are kept as they are; no rows
+    give no rows.
+    """
+    judged = stored(_judged(docs, shingle_words, percent, id_col, text_col).filter("group IS NOT NULL").select(
+        "doc_id", "copy", "group"), "near_groups")
+    best = judged.groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("best"))
+    # A text of an id is in one group, so id and hash tell what becomes of its rows.
+    fate = judged.groupBy("group", "doc_id", "copy").agg(F.count("*").alias("times")).join(best, "group").select(
+        F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"),
+        (F.struct("doc_id", "copy") != F.col("best")).alias("__gone"), (F.col("times") > 1).alias("__repeated"),
+    ).filter("__gone OR __repeated")
+    doc, copy = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))
+    left = docs.join(fate, (doc == F.col("__doc")) & (copy == F.col("__copy")), "left").filter("NOT coalesce(__gone, false)")
+    once = left.filter("NOT coalesce(__repeated, false)")
+    return once.unionByName(left.filter("__repeated").dropDuplicates(["__doc", "__copy"])).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``copy`` (a hash of the text), ``n``, ``group`` (null without links or id) and ``component_id`` of each row.
+
+    Groups are of texts, not of ids: an id that repeats with different texts does not tie them.
+    """
     share = percent / 100
     least = share - ERRORS * (share * (1 - share) / REGISTERS) ** 0.5
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"),
+                         F.col(f"`{text_col}`").alias("text"))
     marked = stored(map_batches(source, partial(_sketches, shingle_words, "doc_id", "text"),
-                                "doc_id long, n long, digest binary, registers binary, keys array<long>"), "sketches")
+                                "doc_id long, copy long, n long, digest binary, registers binary, keys array<long>"), "sketches")
+    # Classes are numbered as they are written; ``doc`` is the smallest id.
     classes = stored(
         marked.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-            F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers"),
-            F.any_value("keys").alias("keys")), "classes")
+            F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers"),
+            F.any_value("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "classes")
 
     met = classes.select("id", F.explode("keys").alias("key"))
     sizes = met.groupBy("key").agg(F.count("id").alias("rows")).filter("rows > 1").select(
@@ -251,20 +287,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     sizes = clusters.join(sketched.select("id", "n"), "id").groupBy("key").agg(
         F.ceil(F.greatest(F.count("id") / CELL_ROWS, F.sum("n") * 8 / CELL_BYTES)).alias("blocks"))
-    chosen = classes.select("id", "n", "registers", "digest").join(clusters, "id")
-    read = source.join(chosen, source.doc_id == chosen.id).select("key", "id", "n", "registers", "digest", "text")
+    chosen = classes.select("id", "doc", "n", "registers", "digest").join(clusters, "id")
+    read = source.join(chosen, source.doc_id == chosen.doc).select("key", "id", "n", "registers", "digest", "text")
+    # Equal rows of one id give a set twice, which changes no link.
     sets = map_batches(read, partial(_sets, shingle_words), "key long, id long, n long, registers binary, shingles binary")
     links = map_batches(
         _cells(sets, sizes).select("key", "low", "high", "block", "id", "n", "registers", "shingles"),
         partial(_confirm, percent, least), "u long, v long")
     components = connected_components(links)
 
-    named = classes.select("digest", "id").join(components, classes.id == components.node, "left").select(
-        "digest", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.select("digest", "id", "doc").join(components, classes.id == components.node, "left").select(
+        "digest", "doc", F.coalesce("component", "id").alias("group"))
+    smallest = named.groupBy("group").agg(F.min("doc").alias("component_id"))
+    # A row without id has the class of its text, if there is one, but no place in the group.
+    return marked.join(named.drop("doc").join(smallest, "group"), "digest", "left").select(
+        "doc_id", "copy", "n", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _sets(words: int, batches: Batches) -> Batches:

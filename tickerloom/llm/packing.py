@@ -62,25 +62,31 @@ class Encoder:
 
     Texts are cut where the file's own pre-tokenizer always cuts.  Each distinct unit is
     encoded once; a stretch between spaces that holds any unusual character goes through
-    the whole tokenizer.  Strings of special tokens in a text are ordinary text.
+    the whole tokenizer.  Strings of the file's added tokens in a text become those tokens.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._all = Tokenizer.from_file(path)
-        self._all.encode_special_tokens = True
         self._model = self._all.model
+        # Added tokens are found before anything is cut: a stretch that may hold one goes through
+        # the whole tokenizer, and every text does if an added token may hold the border of stretches.
+        added = [t.content for t in self._all.get_added_tokens_decoder().values()]
+        self._kinds = _classes().copy()
+        self._kinds[[ord(t[0]) for t in added if t]] = _ODD
+        self._uncut = any(" " in t for t in added)
+        self._type = np.uint16 if self._all.get_vocab_size() <= 1 << 16 else np.uint32
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self._letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self._known = units.Known(21, 2, np.int64)
-        self._ids = np.zeros(KEPT_IDS, np.uint16)
+        self._ids = np.zeros(KEPT_IDS, self._type)
         self._used = 0
 
     def _cut(self, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of units, and whether a unit needs the whole tokenizer."""
-        kind = _classes()[cp]
+        kind = self._kinds[cp]
         n = len(cp)
         space, odd = kind == _SPACE, kind == _ODD
         follows = np.zeros(n, bool)
@@ -112,12 +118,16 @@ class Encoder:
         """Ids of all texts, and the bounds of each text in them."""
         cp, bounds = units.lay_out(texts)
         if not len(cp):
-            return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, self._type), np.zeros(len(texts) + 1, np.int64)
+        if self._uncut:
+            found = [self._all.encode(t, add_special_tokens=False).ids for t in texts]
+            return (np.array([i for ids in found for i in ids], self._type),
+                    np.concatenate(([0], np.cumsum([len(ids) for ids in found]))))
         if self._used + 4 * len(cp) > len(self._ids):
             self._known.clear()
             self._used = 0
             if 4 * len(cp) > len(self._ids):
-                self._ids = np.zeros(4 * len(cp), np.uint16)
+                self._ids = np.zeros(4 * len(cp), self._type)
         joined = "".join(texts)
         start, end, whole = self._cut(cp, bounds)
 
@@ -256,7 +266,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_i
                 ids, bounds = encoder.encode(texts[first:last])
                 whole = []
                 for k in range(last - first):
-                    own = np.append(ids[bounds[k]: bounds[k + 1]], np.uint16(end_id))
+                    own = np.append(ids[bounds[k]: bounds[k + 1]], ids.dtype.type(end_id))
                     for piece in _pieces(names[first + k], own, length):
                         if len(piece.ids) == length:
                             whole.append([piece])
