@@ -223,7 +223,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs.
+
+    Rows are judged one by one by their own text; null, empty and blank texts have no words
+    and stay.  Items without words have no windows; an empty benchmark keeps every row.
+    """
     kept = docs
     for b, found in enumerate(_blocks(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text_col,
                                       window, block_windows)):

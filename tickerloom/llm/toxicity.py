@@ -535,6 +535,11 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
                  id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``.
+
+    The model learns from the labelled rows among them.  Every row is scored by its own text,
+    rows that repeat an id too; null and empty texts score like texts without any feature.
+    Without labels, or without rows of both labels, no text has a feature.  No rows give no rows.
+    """
     model = fit(docs, labels, sample, id_col, text_col, label_col)
     return map_batches(docs, partial(_keep, model, text_col, threshold), docs.schema)
