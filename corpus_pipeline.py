@@ -17,29 +17,47 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts to be toxic go."""
+    """Documents that the toxicity operator predicts to be toxic go.
+
+    Rows are judged by their own text, with a model of the labelled rows; null and empty
+    texts are clean by themselves.  Other columns than those of documents are left out.
+    """
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least three documents stay in the last of them only."""
+    """Lines found in at least three documents stay in the last of them only.
+
+    No document goes, even if no line of it stays; null texts become empty ones.  Rows of
+    one id are one document.  ``n_chars`` is counted again.
+    """
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five words a shingle, a similarity of 0.8."""
-    gone = near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group stays: five words a shingle, a similarity of 0.8.
+
+    The row of the smallest id stays.  Rows that repeat an id are judged by their own text;
+    of rows with equal id and text one stays.  Rows without id or words all stay.
+    """
+    return near_dup.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go.
+
+    Rows are judged by their own text; null and empty texts, and texts beside an empty
+    benchmark, stay.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of token ids."""
+    """What is left, as pieces of sequences of token ids.
+
+    Every row is a document, repeats too; null and empty texts are one end token.
+    """
     return packing.pack_documents(docs, vocabulary())
 
 
