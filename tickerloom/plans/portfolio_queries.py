@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.operators import asof
 from tickerloom.operators import ledger as L
 from tickerloom.operators import portfolio as P
 from tickerloom.plans import views as V
@@ -324,6 +325,26 @@ def day_pnl(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), "day_pnl": F.round("day_pnl", 2)})
 
 
+# Every customer is asked about as of the days its line items were shipped.
+_ASKED = """r AS (SELECT o_custkey AS user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             CAST(l_shipdate AS DATE) AS asked
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@register(f"""WITH {SNAP}, {_ASKED}
+SELECT r.user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(asked AS VARCHAR) AS as_of,
+       CAST(s.d AS VARCHAR) AS date, s.equity
+FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.asked > s.d""")
+def previous_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot before each of many as-of days."""
+    orders = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    items = V.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("as_of"))
+    asked = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).drop("o_orderkey")
+    rows = asof.as_of_join(asked, V.snapshots(spark, sf), ["user_id"], "as_of", "date", ["equity"], strict=True)
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("as_of", "date")})
+
+
 @register(f"""WITH {SNAP}
 SELECT user_id, CAST(d AS VARCHAR) AS date, equity FROM s
 WHERE d BETWEEN DATE '2000-01-01' - 30 AND DATE '2000-01-01'""")

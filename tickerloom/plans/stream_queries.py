@@ -21,11 +21,12 @@ SLICES = 3
 
 
 def _replay(df: DataFrame, order: str, name: str, build: Callable[[DataFrame], DataFrame], path: str,
-            mode: str = "update", late_hours: int = 0) -> StructType:
+            mode: str = "update", late_hours: int = 0, sink: Callable | None = None, last: DataFrame | None = None) -> StructType:
     """Run the stream ``build`` over ``df`` arriving in slices of ``order``; returns its schema.
 
     Each slice is written by as many tasks as its scan has, then the query goes on from its
-    checkpoint until nothing is left.  A row arrives up to ``late_hours`` hours late.
+    checkpoint until nothing is left.  A row arrives up to ``late_hours`` hours late.  ``last``
+    holds rows that come after all others.
     """
     spark = df.sparkSession
     source = shared_dir(spark, name)
@@ -36,10 +37,11 @@ def _replay(df: DataFrame, order: str, name: str, build: Callable[[DataFrame], D
     bounds = df.agg(F.percentile_approx("_at", [i / SLICES for i in range(1, SLICES)])).first()[0] or []
     place = sum((F.when(F.col("_at") > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
     rows = df.drop("_at")
-    for i in range(SLICES):
-        df.filter(place == i).drop("_at").write.mode("append").parquet(source)
+    slices = [df.filter(place == i).drop("_at") for i in range(SLICES)]
+    for arrived in [*slices, last] if last is not None else slices:
+        arrived.write.mode("append").parquet(source)
         stream = build(spark.readStream.schema(rows.schema).parquet(source))
-        live.run_available(stream, path, mode)
+        live.run_available(stream, path, mode, sink)
     return stream.schema
 
 
@@ -65,8 +67,14 @@ FROM walk JOIN trades ON walk.trade_id = trades.trade_id""")
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
     path = shared_dir(spark, "stream-ledger")
-    schema = _replay(V.trades(spark, sf), "ts", "trades", lambda trades: live.stream_ledger(trades, BALANCE), path, "append")
-    rows = spark.read.schema(schema).parquet(f"{path}/table")
+    trades = V.trades(spark, sf)
+    # A row of nobody, a week after all trades, lets the watermark pass the last of them.
+    close = trades.agg((F.max("ts") + F.expr("INTERVAL 7 DAYS")).alias("ts")).select(
+        *[F.col(c) if c == "ts" else (F.lit(-1) if c == "user_id" else F.lit(None)).cast(trades.schema[c].dataType).alias(c)
+          for c in trades.columns])
+    schema = _replay(trades, "ts", "trades", lambda rows: live.stream_ledger(rows, BALANCE, "2 days"), path, "append",
+                     late_hours=24, last=close)
+    rows = spark.read.schema(schema).parquet(f"{path}/table").filter("user_id >= 0")
     return rows.select("user_id", "trade_id", "status", "reject_reason", "realized_pnl", "balance_after")
 
 
@@ -112,7 +120,8 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("date"), "o_totalprice",
         F.timestamp_seconds(F.col("o_orderkey")).alias("arrived"))
     path = shared_dir(spark, "stream-upsert")
-    schema = _replay(orders, "arrived", "orders", lambda rows: rows.groupBy("user_id", "date").agg(
-        F.max("o_totalprice").alias("equity")), path, late_hours=24)
-    rows = live.read_latest(spark, f"{path}/log", ["user_id", "date"], schema)
-    return rows.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    store = live.KeyedStore(spark, f"{path}/table", ["user_id", "date"], "user_id bigint, date date, equity double",
+                            F.date_format("date", "yyyy-MM"))
+    _replay(orders, "arrived", "orders", lambda rows: rows.groupBy("user_id", "date").agg(
+        F.max("o_totalprice").alias("equity")), path, late_hours=24, sink=store.merge)
+    return store.read().withColumn("date", F.date_format("date", "yyyy-MM-dd"))

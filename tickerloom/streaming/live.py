@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions.text import title_key
@@ -35,52 +35,102 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", late: str = "1 day") ->
     return bars.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
-def _absent(number: float) -> bool:
-    return pd.isna(number) or number == 0
+_EPOCH = dt.datetime(1970, 1, 1)
+_WAITING = ("trades array<struct<trade_id: bigint, ts: timestamp, symbol: string, side: string, quantity: double, "
+            "price: double>>")
+
+
+class _StoredPositions:
+    """A user's positions in the state store, by symbol; reads and writes only the symbol at hand."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def get(self, symbol: str, default: tuple[float, float]) -> tuple[float, float]:
+        held = self.state.getValue((symbol,))
+        return default if held is None else tuple(held)
+
+    def __setitem__(self, symbol: str, position: tuple[float, float]) -> None:
+        self.state.updateValue((symbol,), position)
+
+    def __delitem__(self, symbol: str) -> None:
+        self.state.removeKey((symbol,))
 
 
 class LedgerProcessor(StatefulProcessor):
-    """Keeps one user's balance and positions; decides each trade as it arrives."""
+    """Decides a user's trades in the order of their time, however they arrive.
+
+    Trades wait under their millisecond, which has a timer; when the watermark passes it,
+    those trades, and no others, are read and decided.  Balance and positions are states of
+    their own, one value for each symbol.
+    """
 
     def __init__(self, balance: float = START_BALANCE):
         self.start = balance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("book", StructType([StructField("book", StringType())]))
+        self.handle = handle
+        self.balance = handle.getValueState("balance", "balance double")
+        self.positions = handle.getMapState("positions", "symbol string", "quantity double, avg_cost double")
+        self.waiting = handle.getMapState("waiting", "ms bigint", _WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            arrived: dict[int, list[tuple]] = {}
+            for t in frame.itertuples(index=False):
+                ts = t.ts.to_pydatetime()
+                ms = (ts - _EPOCH) // dt.timedelta(milliseconds=1)
+                arrived.setdefault(ms, []).append((
+                    int(t.trade_id) if isinstance(t.trade_id, str) else None, ts, *(x if isinstance(x, str) else None for x in (t.symbol, t.side)),
+                    *(None if pd.isna(x) else float(x) for x in (t.quantity, t.price))))
+            for ms, trades in arrived.items():
+                known = self.waiting.getValue((ms,))
+                if known is None:
+                    self.handle.registerTimer(ms)
+                else:
+                    trades = [*(tuple(t) for t in known[0]), *trades]
+                self.waiting.updateValue((ms,), (trades,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
         book = _Book(key[0])
-        if self.state.exists():
-            saved = json.loads(self.state.get()[0])
-            book.balance = saved["balance"]
-            book.positions = {s: tuple(p) for s, p in saved["positions"].items()}
-        else:
-            book.balance = self.start
-        # One micro-batch of one user; the source's trigger limits bound it.
-        batch = pd.concat(list(rows)).sort_values(["ts", "trade_id"])
+        saved = self.balance.get()
+        book.balance = self.start if saved is None else saved[0]
+        book.positions = _StoredPositions(self.positions)
         out = []
-        for t in batch.itertuples(index=False):
+        for trade, ts, symbol, side, quantity, price in sorted(
+                (tuple(t) for t in self.waiting.getValue((ms,))[0]), key=lambda t: (t[1], t[0] is not None, t[0])):
             entry = pnl = None
-            if not t.symbol or not t.side or _absent(t.quantity) or _absent(t.price):
+            if not symbol or not side or not quantity or not price:
                 reason = "missing_field"
-            elif t.side not in SIDES:
+            elif side not in SIDES:
                 reason = "invalid_side"
             else:
-                reason, entry, pnl = book.apply(t.symbol, t.side, t.quantity, t.price)
-            out.append((t.user_id, t.trade_id, t.ts, t.symbol, t.side, t.quantity, t.price,
+                reason, entry, pnl = book.apply(symbol, side, quantity, price)
+            out.append((key[0], trade, ts, symbol, side, quantity, price,
                         "REJECTED" if reason else "COMPLETED", reason, entry, pnl, book.balance))
-        self.state.update((json.dumps({"balance": book.balance, "positions": book.positions}),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_STREAM_SCHEMA.split(", ")])
+        self.balance.update((book.balance,))
+        self.waiting.removeKey((ms,))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_STREAM_SCHEMA.split(", ")])
+        frame["trade_id"] = pd.array([row[1] for row in out], dtype="Int64")
+        yield frame
 
     def close(self) -> None:
         pass
 
 
-def stream_ledger(trades: DataFrame, balance: float = START_BALANCE) -> DataFrame:
-    """Accepted and rejected trades as they arrive; state per user survives in the state store."""
-    return trades.groupBy("user_id").transformWithStateInPandas(
+def stream_ledger(trades: DataFrame, balance: float = START_BALANCE, late: str = "1 day") -> DataFrame:
+    """Accepted and rejected trades in the order of their time, once the watermark has passed them.
+
+    A trade may arrive up to ``late`` after a later one; those later still, and trades
+    without a time, are dropped, as from any stream with a watermark.
+    """
+    # Ids travel as text: pandas would read a column with nulls as floats.
+    named = trades.withColumn("trade_id", F.col("trade_id").cast("string"))
+    return named.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=LedgerProcessor(balance), outputStructType=LEDGER_STREAM_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 def stream_dedup(articles: DataFrame, ts: str = "published", late: str = "14 days") -> DataFrame:
@@ -128,6 +178,77 @@ def read_latest(spark: SparkSession, path: str, keys: list[str], schema: str | S
     return last.select(*keys, "v.*")
 
 
+class KeyedStore:
+    """A table of one row per key that batches are merged into, for ``foreachBatch``.
+
+    The table is cut by ``partition``, a text that the keys determine (a month, say).  A batch
+    reads and rewrites only the partitions it touches: each as a new folder named by the
+    batch's epoch, from the newest committed folder before it and the batch's rows.  A batch
+    counts from the moment its commit file is there, so a stopped one leaves no trace for
+    readers, and a repeated one writes its own folders again from the same state.
+    Folders that no reader can need any more are removed: all but the newest two.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str | StructType, partition: Column) -> None:
+        self.spark, self.path, self.keys, self.partition = spark, path, keys, partition
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.values = [f.name for f in self.schema if f.name not in keys]
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, pattern: str) -> list[str]:
+        found = self._fs().globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}"))
+        return [f.getPath().toString() for f in found or ()]
+
+    def committed(self) -> list[int]:
+        return sorted(int(name.rsplit("-", 1)[1]) for name in self._names("_commits/epoch-*"))
+
+    def _folders(self, before: int | None = None) -> dict[str, list[tuple[int, str]]]:
+        """Committed folders of each partition, oldest first."""
+        epochs = {e for e in self.committed() if before is None or e < before}
+        out: dict[str, list[tuple[int, str]]] = {}
+        for name in self._names("part=*/epoch=*"):
+            part, epoch = name.rsplit("/", 2)[1:]
+            if int(epoch.removeprefix("epoch=")) in epochs:
+                out.setdefault(part, []).append((int(epoch.removeprefix("epoch=")), name))
+        return {part: sorted(found) for part, found in out.items()}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def read(self) -> DataFrame:
+        """The table: one row per key."""
+        return self._read([found[-1][1] for found in self._folders().values()])
+
+    def merge(self, batch: DataFrame, epoch: int) -> None:
+        """Rows of ``batch`` replace those of their keys; it has one row per key.  Nothing happens twice."""
+        if epoch in self.committed():
+            return
+        new = batch.select(*self.keys, *self.values).withColumn("part", self.partition)
+        new.persist()
+        try:
+            touched = {f"part={r[0]}" for r in new.select("part").distinct().collect()}
+            known = self._folders(before=epoch)
+            old = self._read([known[p][-1][1] for p in touched if p in known]).withColumn("part", self.partition)
+            merged = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).groupBy(
+                "part", *self.keys).agg(F.max_by(F.struct(*self.values), "_new").alias("_v")).select(
+                    *self.keys, "_v.*", "part", F.lit(epoch).alias("epoch"))
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "epoch").parquet(
+                self.path)
+        finally:
+            new.unpersist()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self._fs().create(path(f"{self.path}/_commits/epoch-{epoch}"), True).close()
+        for part, found in self._folders().items():
+            if part in touched:
+                for _, name in found[:-2]:
+                    self._fs().delete(path(name), True)
+
+
 def run_available(df: DataFrame, path: str, mode: str = "update", sink: Callable | None = None) -> StreamingQuery:
     """Process everything available now into a change log or an appended table, and wait."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
