@@ -173,3 +173,35 @@ def test_signal_csv_has_a_header(spark, tmp_path):
     sinks.write_signals_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["ticker", "total_signals"]
     assert sinks.read_signals_csv(spark, str(tmp_path / "c"), "ticker string, total_signals bigint").first()["total_signals"] == 2
+
+
+def test_elements_are_paired_by_depth(spark):
+    html = ('<div class="a"><DIV>in</DIV>x</div></div><div class="a-b">no</div><div id="q" class="z a">open<divide>y</divide>'
+            '<div class="a">last</div>')
+    found = P.with_elements(pages(spark, html), "e", "div", "a").first()["e"]
+    assert [e["inner"] for e in found] == [
+        "<DIV>in</DIV>x", 'open<divide>y</divide><div class="a">last</div>', "last"]
+    assert all(e["open"] < e["close"] for e in found)
+    assert P.with_elements(pages(spark, "none</div>"), "e", "div").first()["e"] == []
+    assert P.with_elements(pages(spark, None), "e", "div").first()["e"] == []
+
+
+def test_links_and_paragraphs_inside_an_element(spark):
+    html = ('<a href="https://c/0">0</a><div class="News"><div><a href="https://c/1">1</a></div><a href="https://c/2">2</a></div>'
+            '<a class="top" href="https://c/3">3</a><a class="top" href="https://c/1">1</a>')
+    rows = P.extract_latest_links(pages(spark, html), ["a.top", "div.News a"], "https://c/").orderBy("selector", "pos").collect()
+    assert [(r["link"], r["selector"]) for r in rows] == [("https://c/3", 0), ("https://c/1", 0), ("https://c/2", 1)]
+    html = '<h1>T</h1><p>out</p><div class="articleText"><div>x</div><p>one</p><p>two</p><p>three</p></div><p>after</p>'
+    row = P.extract_articles(pages(spark, html), container="div.articleText").first()
+    assert (row["summary"], row["body"]) == ("one two", "one two three")
+    assert P.extract_articles(pages(spark, html), container="div.other").first()["summary"] == "out one"
+    assert P.extract_articles(pages(spark, html), True, "div.other").first()["summary"] == ""
+
+
+def test_symbol_column_of_any_table(spark):
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    html = (f"<table>{row('Rank')}{row('ABC')}</table><table>{row('Symbol')}{row('1')}</table>"
+            f"<table>{row('#', 'Symbol')}{row('1', 'TSLA')}{row('2', 'B-1')}{row('3')}{row('4', 'F')}</table>")
+    got = lambda h: [r["symbol"] for r in P.extract_symbols(pages(spark, h)).orderBy("pos").collect()]
+    assert got(html) == ["TSLA", "F"]
+    assert got(f"<table>{row('Rank')}</table><a data-symbol=\"XY\">") == ["XY"] and got(None) == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions import labels
 from tickerloom.functions import numbers as num
 from tickerloom.functions.fixed_values import FALLBACK_SYMBOLS, TICKER_KEYWORDS
@@ -138,11 +139,12 @@ def _clean(x: str) -> str:
             f"'&amp;', '&'), '\\s+', ' ', 'g'))")
 
 
-ANCHORS = f"""
+def _anchors_sql(pages: str = "pages") -> str:
+    return f"""
 a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s([^>]*)>(.*?)</a>', 1)) AS attrs,
              unnest(regexp_extract_all(html, '(?is)<a\\s([^>]*)>(.*?)</a>', 2)) AS inner_html,
              generate_subscripts(regexp_extract_all(html, '(?is)<a\\s([^>]*)>(.*?)</a>', 1), 1) - 1 AS pos
-      FROM pages),
+      FROM {pages}),
 b AS (SELECT page_id, url, pos, regexp_extract(attrs, '(?is)href\\s*=\\s*["'']([^"'']*)["'']', 1) AS href,
              {_clean('inner_html')} AS title FROM a),
 c AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][\\w+.-]*:') THEN href
@@ -153,6 +155,9 @@ c AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][\\w+.-]*:') THEN href
                        || href END AS link FROM b)"""
 
 
+ANCHORS = _anchors_sql()
+
+
 @register(f"""WITH {ANCHORS}
 SELECT page_id, pos, href, link, title FROM c WHERE href <> '' AND title <> '' AND pos < 50""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,6 +181,68 @@ def latest_links(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "link", F.col("pos").cast("bigint").alias("pos"))
 
 
+def _relevance_sql(ticker: str, company: str) -> str:
+    text = f"lower(title || '  ' || '{company}')"
+    return (f"(CASE WHEN contains({text}, lower('{ticker}')) THEN 3 ELSE 0 END) + 2"
+            f" + (CASE WHEN {sql_any(fixed.FINANCE_WORDS, text)} THEN 2 ELSE 0 END)"
+            f" + (CASE WHEN length(title) > 25 THEN 1 ELSE 0 END)")
+
+
+_TICKER, _COMPANY = "An", "en Corp"
+#: How the given pages' anchors are written as those of the three kinds of listing pages.
+_AS_LISTED = {
+    "search_results": ('<a href="/t', '<a class="x resultlink" href="/t'),
+    "article_links": ('href="/a', 'href="/articleshow/a'),
+    "tag_pages": (r'<a href="/([a-z]*)">([^<]*)</a>', r'<a href="/news/\1.html">\2 and more words of it</a>'),
+}
+_LISTED_SQL = {
+    "search_results": ("replace(html, '{0}', '{1}')", "attrs LIKE '%resultlink%' AND title <> ''", 50),
+    "article_links": ("replace(html, '{0}', '{1}')", "contains(href, 'articleshow') AND title <> ''", 50),
+    "tag_pages": ("regexp_replace(html, '{0}', '{1}', 'g')",
+                  "contains(href, '/news/') AND ends_with(href, '.html') AND length(title) >= 20", 30),
+}
+
+
+def _listed_sql(rule: str) -> str:
+    html, test, cap = _LISTED_SQL[rule]
+    pages = f"(SELECT page_id, url, {html.format(*_AS_LISTED[rule])} AS html FROM pages)"
+    first = "QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1" if rule == "tag_pages" else ""
+    links = _anchors_sql(pages).replace("b AS (SELECT page_id, url, pos,", "b AS (SELECT page_id, url, pos, attrs,")
+    return f"""SELECT * FROM (WITH {links}, d AS (SELECT * FROM c WHERE {test.split(' AND length')[0]} {first})
+        SELECT '{rule}' AS rule, page_id, CAST(pos AS BIGINT) AS pos, href, link, title,
+               {_relevance_sql(_TICKER, _COMPANY)} AS relevance FROM d WHERE {test}
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= {cap})"""
+
+
+@register(" UNION ALL ".join(_listed_sql(rule) for rule in _AS_LISTED))
+def page_links_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """The link rules of the listing pages, with their relevance test."""
+    pages, out = V.table(spark, sf, "pages").withColumns({"ticker": F.lit(_TICKER), "company": F.lit(_COMPANY)}), None
+    for name, (written, shown) in _AS_LISTED.items():
+        html = (F.regexp_replace("html", written, shown.replace("\\1", "$1").replace("\\2", "$2")) if name == "tag_pages"
+                else F.replace("html", F.lit(written), F.lit(shown)))
+        rows = P.extract_links(pages.withColumn("html", html), P.LINK_RULES[name], "ticker", "company")
+        rows = rows.select(F.lit(name).alias("rule"), "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "link",
+                           "title", "relevance")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register(f"""WITH {_anchors_sql("(SELECT page_id, url, regexp_extract(html, '(?is)<ul>(.*?)</ul>', 1) AS html FROM pages)")},
+n AS (SELECT page_id, href AS link, 0 AS selector, min(pos) AS pos FROM b WHERE starts_with(href, '/t') GROUP BY 1, 2)
+SELECT page_id, link, selector, CAST(pos AS BIGINT) AS pos FROM n
+UNION ALL SELECT page_id, '/than', 1, regexp_count_all(html) FROM (
+  SELECT page_id, len(regexp_extract_all(html, '(?is)<a\\s([^>]*)>(.*?)</a>', 1)) AS c, html FROM pages)
+WHERE (page_id, '/than') NOT IN (SELECT (page_id, link) FROM n)""".replace("regexp_count_all(html)", "c"))
+def latest_links_inside(spark: SparkSession, sf: str) -> DataFrame:
+    """Links inside an element that holds others of its kind, then a headline's."""
+    html = F.concat(
+        F.replace(F.replace("html", F.lit("<ul>"), F.lit('<div class="a Latest-news"><div>x</div>')), F.lit("</ul>"), F.lit("</div>")),
+        F.lit('<a class="Latest-head" href="/than">t</a><div class="Latest-news2"><a href="/tout">x</a></div>'))
+    rows = P.extract_latest_links(V.table(spark, sf, "pages").withColumn("html", html), ["div.Latest-news a", "a.Latest-head"], "/t")
+    return rows.select("page_id", "link", "selector", F.col("pos").cast("bigint").alias("pos"))
+
+
 _PARAS = f"""list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1),
   lambda x: {_clean('x')}), lambda x: x <> '')"""
 
@@ -186,10 +253,28 @@ WITH p AS (SELECT page_id, url, {_clean("regexp_extract(html, '(?is)<h1[^>]*>(.*
 SELECT page_id, url, title, substring(coalesce(nullif(array_to_string(ps[1:2], ' '), ''), title), 1, 300) AS summary,
        substring(array_to_string(ps, ' '), 1, 500) AS body FROM p""")
 def page_articles(spark: SparkSession, sf: str) -> DataFrame:
-    pages = V.table(spark, sf, "pages")
-    short = P.extract_articles(pages).select("page_id", "url", "title", "summary")
-    body = P.extract_articles(pages, whole_body=True).select("page_id", F.col("summary").alias("body"))
-    return short.join(body, "page_id")
+    return P.extract_articles(V.table(spark, sf, "pages")).select("page_id", "url", "title", "summary", "body")
+
+
+@register(f"""
+WITH a AS (SELECT page_id, html || '<p>foot</p>' AS page, page_id % 3 <> 0 AND regexp_matches(
+                    regexp_extract(html, '(?is)<article>(.*?)</article>', 1), '(?is)<p(?:\\s[^>]*)?>(.*?)</p>') AS inside,
+                  regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS html FROM pages),
+i AS (SELECT page_id, inside, CASE WHEN inside THEN html ELSE page END AS html FROM a),
+p AS (SELECT page_id, inside, {_PARAS} AS ps FROM i),
+t AS (SELECT page_id, {_clean("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title FROM pages)
+SELECT page_id, title, substring(coalesce(nullif(array_to_string(ps[1:2], ' '), ''), title), 1, 300) AS summary,
+       CASE WHEN NOT inside THEN '' ELSE substring(array_to_string(ps, ' '), 1, 500) END AS body
+FROM p JOIN t USING (page_id)""")
+def container_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of the body's element only, which holds other elements; every third page has none."""
+    inside = F.replace(F.replace("html", F.lit("<article>"), F.lit('<div id="b" class="x articleText"><div class="in">n</div>')),
+                       F.lit("</article>"), F.lit("</div>"))
+    html = F.concat(F.when(F.col("page_id") % 3 != 0, inside).otherwise(F.col("html")), F.lit("<p>foot</p>"))
+    pages = V.table(spark, sf, "pages").withColumn("html", html)
+    short = P.extract_articles(pages.withColumn("whole", F.col("html")), container="div.articleText").withColumnRenamed("whole", "html")
+    body = P.extract_articles(short.select("page_id", "html", F.struct("title", "summary").alias("short")), True, "div.articleText")
+    return body.select("page_id", "short.*", F.col("summary").alias("body"))
 
 
 _LETTERS = lambda c: _clean(f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}} ]', ' ', 'g')")
@@ -315,6 +400,22 @@ def symbol_pages(spark: SparkSession, sf: str) -> DataFrame:
     return P.extract_symbols(pages).select("page_id", "symbol")
 
 
+@register("""
+WITH s AS (SELECT o_custkey AS page_id, regexp_extract(o_orderpriority, '[A-Z]+') AS symbol, min(o_orderkey) AS k
+           FROM orders GROUP BY 1, 2)
+SELECT page_id, symbol, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos FROM s""")
+def symbol_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The Symbol column of the third table of a page, which has rows of other texts too."""
+    rows = V.table(spark, sf, "orders").groupBy(
+        F.col("o_custkey").alias("page_id"), F.regexp_extract("o_orderpriority", "[A-Z]+", 0).alias("symbol")).agg(
+            F.min("o_orderkey").alias("k"))
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "symbol"))), lambda r: F.concat(
+        F.lit("<tr><td>1</td><td><b>"), r["symbol"], F.lit("</b></td></tr><tr><td>2</td><td>3-X</td></tr>"))), "")
+    other = "<table><tr><th>Rank</th></tr><tr><td>ABC</td></tr></table><table><tr><th>Symbol</th></tr><tr><td>1-A</td></tr></table>"
+    html = F.concat(F.lit(other + "<table><tr><th>#</th><th>Symbol</th></tr>"), cells, F.lit("</table>"))
+    return P.extract_symbols(rows.groupBy("page_id").agg(html.alias("html"))).select("page_id", "symbol", "pos")
+
+
 @register(f"""WITH {EOD}
 SELECT symbol, CAST(date AS VARCHAR) AS date, open, high, low, close, volume FROM eod
 WHERE date >= DATE '{ASOF}' - 365""")

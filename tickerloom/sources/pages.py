@@ -42,6 +42,34 @@ def _first(text: str | Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(col(text), pattern, group), F.lit(""))
 
 
+def with_elements(pages: DataFrame, into: str, element: str, css_class: str | None = None) -> DataFrame:
+    """Add the elements of a name, and a class if given, as intervals: ``into`` array of (open, close, inner).
+
+    The page is cut at the tags of that name.  ``open`` and ``close`` number the cuts an
+    element begins and ends at; an end tag closes the latest open element, found by adding
+    up the depth from the begin tag on.  ``inner`` is the text between.  Elements come in page order,
+    nested ones too; one that is never closed ends with the page, stray end tags are passed over.
+    """
+    begins, ends = rf"(?is)^<{element}[\s>/]", rf"(?is)^</{element}[\s>]"
+    wanted = begins if css_class is None else rf'(?is)^<{element}\s[^>]*class="[^"]*(?<![\w-]){css_class}(?![\w-])[^"]*"'
+    cut = pages.withColumn("_cut", F.split(F.coalesce("html", F.lit("")), rf"(?i)(?=</?{element}[\s>/])"))
+    marked = cut.withColumns({
+        "_step": F.transform("_cut", lambda c: F.when(c.rlike(begins), 1).when(c.rlike(ends), -1).otherwise(0)),
+        "_begin": F.filter(F.sequence(F.lit(0), F.size("_cut") - 1), lambda i: F.get("_cut", i).rlike(wanted))})
+    lengths = F.expr("""transform(_begin, i -> aggregate(slice(_step, i + 1, size(_step)), struct(0 AS depth, 0 AS n, false AS shut),
+        (s, step) -> CASE WHEN s.shut THEN s ELSE struct(s.depth + step AS depth, s.n + 1 AS n, s.depth + step <= 0 AS shut) END,
+        s -> CASE WHEN s.shut THEN s.n - 1 ELSE s.n END))""")
+    inner = F.expr(f"""zip_with(_begin, _length, (i, n) -> struct(i AS open, i + n AS close,
+        regexp_replace(array_join(slice(_cut, i + 1, n), ''), '(?is)^<{element}[^>]*>', '') AS inner))""")
+    return marked.withColumn("_length", lengths).withColumn(into, inner).drop("_cut", "_step", "_begin", "_length")
+
+
+def _container(selector: str) -> tuple[str, str | None]:
+    """Name and class of ``name.class`` or ``name``."""
+    name, _, css_class = selector.partition(".")
+    return name, css_class or None
+
+
 def anchors(pages: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Every anchor of every page: pos, raw attributes, href and plain title."""
     found = F.arrays_zip(_all("html", ANCHOR, 1).alias("attrs"), _all("html", ANCHOR, 2).alias("inner"))
@@ -130,24 +158,45 @@ def first_links(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def extract_latest_links(pages: DataFrame, selectors: Sequence[str], prefix: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Links of anchors by ordered class selectors, absolute prefix only, first-seen distinct."""
-    rows = anchors(pages, extra).filter(F.col("href").startswith(prefix))
-    place = F.coalesce(*[
-        F.when(F.col("attrs").rlike(rf'class="[^"]*\b{c}\b[^"]*"'), F.lit(i)) for i, c in enumerate(selectors)])
-    found = rows.withColumn("selector", place).filter(F.col("selector").isNotNull())
-    return found.groupBy("page_id", *extra, "href").agg(
+    """Links of anchors by ordered selectors, absolute prefix only, first-seen distinct.
+
+    A selector is the class of the anchors, or ``name.class a``: all anchors inside such an
+    element.  ``pos`` is the anchor's place on the page, or among those of the elements.
+    """
+    own = [F.when(F.col("attrs").rlike(rf'class="[^"]*(?<![\w-]){c.removeprefix("a.")}(?![\w-])[^"]*"'), F.lit(i))
+           for i, c in enumerate(selectors) if " " not in c]
+    found = None
+    if own:
+        # An anchor may match several selectors; the first counts.
+        found = anchors(pages, extra).withColumn("selector", F.coalesce(*own)).filter(F.col("selector").isNotNull())
+    for i, selector in enumerate(selectors):
+        if " " in selector:
+            inside = with_elements(pages, "_e", *_container(selector.split()[0]))
+            html = F.array_join(F.transform("_e", lambda e: e["inner"]), "")
+            rows = anchors(inside.withColumn("html", html), extra).withColumn("selector", F.lit(i))
+            found = rows if found is None else found.unionByName(rows)
+    return found.filter(F.col("href").startswith(prefix)).groupBy("page_id", *extra, "href").agg(
         F.min(F.struct("selector", "pos")).alias("seen")).select(
         "page_id", *extra, F.col("href").alias("link"), "seen.selector", "seen.pos")
 
 
-def extract_articles(pages: DataFrame, whole_body: bool = False) -> DataFrame:
-    """Title, summary and publish date of article pages.
+def extract_articles(pages: DataFrame, whole_body: bool = False, container: str | None = None) -> DataFrame:
+    """Title, summary and publish date of article pages, and the ``body`` and ``head`` of their text.
 
     The summary is the first two paragraphs up to 300 characters, the title when
-    there are none; or with ``whole_body`` all paragraphs up to 500 characters.
+    there are none; or with ``whole_body`` all paragraphs up to 500 characters.  With a
+    ``container`` (``name.class``) only paragraphs inside such elements count; the summary
+    falls back to all of them where there are none, the whole body does not.
     """
-    paragraphs = F.filter(F.transform(_all("html", PARAGRAPH), clean_markup), lambda p: p != "")
-    rows = pages.withColumn("_p", paragraphs)
+    clean = lambda c: F.filter(F.transform(_all(c, PARAGRAPH), clean_markup), lambda p: p != "")
+    rows = pages
+    if container:
+        rows = with_elements(pages, "_e", *_container(container)).withColumn(
+            "_inner", F.array_join(F.transform("_e", lambda e: e["inner"]), ""))
+        inside = F.regexp_count("_inner", F.lit(PARAGRAPH)) > 0
+        rows = rows.withColumn("_p", clean("_inner") if whole_body else F.when(inside, clean("_inner")).otherwise(clean("html")))
+    else:
+        rows = rows.withColumn("_p", clean("html"))
     title = clean_markup(F.coalesce(_first("html", HEADING), F.lit("")))
     body = F.array_join("_p", " ")
     two = F.array_join(F.slice("_p", 1, 2), " ")
@@ -156,11 +205,11 @@ def extract_articles(pages: DataFrame, whole_body: bool = False) -> DataFrame:
     else:
         summary = F.substring(F.coalesce(F.nullif(two, F.lit("")), title), 1, SUMMARY_CHARS)
         published = _first("html", PUBLISH_META)
-    keep = [c for c in pages.columns if c not in ("html", "title", "summary", "published")]
+    keep = [c for c in pages.columns if c not in ("html", "title", "summary", "published", "body", "head")]
     return rows.select(
         *keep, title.alias("title"), summary.alias("summary"),
         F.coalesce(published, F.lit("")).alias("published"),
-        F.substring(body, 1, MATCH_CHARS).alias("head"))
+        F.substring(body, 1, BODY_CHARS).alias("body"), F.substring(body, 1, MATCH_CHARS).alias("head"))
 
 
 def matching_articles(articles: DataFrame, keywords: Sequence[str] | str) -> DataFrame:
@@ -338,16 +387,19 @@ def extract_active_table(pages: DataFrame) -> DataFrame:
 
 
 def extract_symbols(pages: DataFrame, limit: int = 25) -> DataFrame:
-    """First ``limit`` symbols per page: the table's Symbol column, else tagged, else linked symbols."""
-    table_rows = F.transform(_all("html", TABLE_ROW), lambda r: F.transform(_all(r, TABLE_CELL), clean_markup))
-    head = F.get("_rows", 0)
-    column = F.array_position(F.coalesce(head, F.array().cast("array<string>")), F.lit("Symbol")).cast("int")
-    listed = F.when(column > 0, F.filter(
-        F.transform(F.slice("_rows", 2, 1 << 30), lambda r: F.get(r, F.col("_at") - 1)),
-        lambda s: s.rlike(r"^\p{L}+$")))
-    rows = pages.select("page_id", "html", table_rows.alias("_rows")).withColumn("_at", column)
+    """First ``limit`` symbols per page: the first table's Symbol column that lists any, else tagged, else linked symbols.
+
+    A table's columns are named by its first row.  Rows outside any table count as one table.
+    """
+    tables = F.when(F.size("_tables") > 0, F.transform("_tables", lambda t: t["inner"])).otherwise(F.array("html"))
+    cells = F.transform(tables, lambda t: F.transform(_all(t, TABLE_ROW), lambda r: F.transform(_all(r, TABLE_CELL), clean_markup)))
+    rows = with_elements(pages.select("page_id", "html"), "_tables", "table").withColumn("_cells", cells)
+    listed = F.expr(r"""transform(_cells, t -> filter(
+        transform(slice(t, 2, greatest(size(t) - 1, 0)), r -> get(r, cast(array_position(get(t, 0), 'Symbol') AS int) - 1)),
+        s -> s RLIKE '^\\p{L}+$'))""")
+    first = F.get(F.filter(listed, lambda found: F.size(found) > 0), 0)
     none = lambda c: F.when(F.size(c) > 0, c)
     symbols = F.coalesce(
-        none(listed), none(F.array_distinct(_all("html", SYMBOL_ATTRIBUTE))),
+        first, none(F.array_distinct(_all("html", SYMBOL_ATTRIBUTE))),
         none(F.array_distinct(_all("html", SYMBOL_LINK))))
     return rows.select("page_id", F.posexplode(F.slice(symbols, 1, limit)).alias("pos", "symbol"))
