@@ -216,3 +216,26 @@ def test_ema_equals_loop_for_any_series(make_bars, columns, xs, rows):
     df = I.enrich(make_bars({"A": xs}), ("ema",), ema_periods=(9, 26), rows=rows, chunk_days=11)
     for p, got in zip((9, 26), columns(df, "A", "ema9", "ema26")):
         close(got, loop_ema(xs, p) if len(xs) >= p else [None] * len(xs))
+
+
+def test_distant_periods_take_passes_of_their_own(make_bars, columns):
+    closes = [100 + 10 * ((i * 7919) % 13) / 13 + i / 50 for i in range(900)]
+
+    def plain(period):
+        out, value = [None] * (period - 1), sum(closes[:period]) / period
+        out.append(value)
+        for c in closes[period:]:
+            value = c * 2 / (period + 1) + value * (1 - 2 / (period + 1))
+            out.append(value)
+        return out
+
+    groups = rec.passes([rec.ema(f"ema{p}", "close", p) for p in (2, 12, 200)], 240)
+    assert len(groups) > 1 and sorted(r.name for g in groups for r in g) == ["ema12", "ema2", "ema200"]
+    full = I.enrich(make_bars({"A": closes}), ("ema", "macd", "sma"), ema_periods=(2, 12, 26, 200, 500), sma_periods=(200,))
+    found = columns(full, "A", "ema2", "ema12", "ema200", "ema500", "macd_line")
+    for got, period in zip(found, (2, 12, 200, 500)):
+        want = plain(period)
+        assert [x is None for x in got] == [x is None for x in want]
+        assert [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None], rel=1e-9)
+    line = [a - b if a is not None and b is not None else None for a, b in zip(plain(12), plain(26))]
+    assert [x for x in found[4] if x is not None] == pytest.approx([x for x in line if x is not None][-len([x for x in found[4] if x is not None]):], abs=1e-9)

@@ -144,10 +144,15 @@ def enrich(
 
     recs = _recurrences(wanted, dialect, ema_periods, rsi_periods)
     halo = _halo(wanted, sma_periods)
-    size = rec.block_rows(recs, halo, rows)
+    # Periods too far apart for one block size take passes of their own.
+    signal = [rec.Recurrence("macd_signal", "macd_line", 2.0 / (SIGNAL + 1), 1)] if "macd" in wanted else []
+    together, *apart = rec.passes(recs, halo, rows, signal)
+    for group in apart:
+        base = base.join(rec.run(base, keys, group, rows), [*keys, "idx"])
+    size = rec.block_rows([*together, *signal], halo, rows)
     df = with_halo(base, size, halo)
-    if recs:
-        carries = rec.block_carries(base, keys, recs, size, halo)
+    if together:
+        carries = rec.block_carries(base, keys, together, size, halo)
         df = df.join(carries, [*keys, "block"])
     w = Window.partitionBy(*keys, "block").orderBy("idx")
     idx = F.col("idx")
@@ -157,7 +162,7 @@ def enrich(
         df = df.withColumn("_run_close", running)
 
     # Recurrences and plain frames first, then what builds on them.
-    stage: dict[str, Column] = {r.name: rec.scan(r, w, size, halo) for r in recs}
+    stage: dict[str, Column] = {r.name: rec.scan(r, w, size, halo) for r in together}
     if "sma" in wanted:
         stage |= {f"sma{p}": _mean("close", p, w) for p in sma_periods}
     if "bands" in wanted:

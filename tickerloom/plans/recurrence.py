@@ -59,17 +59,51 @@ def wilder(name: str, x: str, period: int, first: int = 1, seed: str = "sma") ->
 
 
 def block_rows(recurrences: Sequence[Recurrence], halo: int, wanted: int = 2048) -> int:
-    """Largest block, up to ``wanted`` rows, that keeps all weights inside a double."""
-    rows = wanted
+    """Largest block, of ``wanted`` rows or as many as the seeds need, that keeps all weights inside a double."""
+    need = max([halo, *[halo + r.start + 1 for r in recurrences]]) + 1
+    rows = max(wanted, need)
     for r in recurrences:
         if r.digits < math.inf:
             rows = min(rows, int(_SAFE_GROWTH / r.digits) - halo)
-    need = max([halo, *[halo + r.start + 1 for r in recurrences]]) + 1
     if rows < need:
-        raise ValueError("periods too far apart for one pass; compute them separately")
+        raise ValueError("periods too far apart for one pass")
     return rows
 
 
+def passes(recurrences: Sequence[Recurrence], halo: int, wanted: int = 2048,
+           beside: Sequence[Recurrence] = ()) -> list[list[Recurrence]]:
+    """Recurrences in groups that share a block size; the first group's blocks have the halo, the others' none.
+
+    Blocks of the first group also suit the recurrences ``beside`` it.
+
+    Fast ones allow short blocks only, slow ones need long blocks for their seed.  Taken from slow to
+    fast, each joins the first group it fits.  One alone always fits blocks without a halo.
+    """
+    groups: list[list[Recurrence]] = [[]]
+    for r in sorted(recurrences, key=lambda r: r.digits):
+        for i, group in enumerate(groups):
+            try:
+                block_rows([*group, r, *(() if i else beside)], 0 if i else halo, wanted)
+            except ValueError:
+                continue
+            group.append(r)
+            break
+        else:
+            groups.append([r])
+    return groups
+
+
+def run(df: DataFrame, keys: Sequence[str], recurrences: Sequence[Recurrence], wanted: int = 2048) -> DataFrame:
+    """``keys``, ``idx`` and the results of recurrences that share a block size, in a pass of their own."""
+    from tickerloom.plans.blocks import with_halo
+
+    rows = block_rows(recurrences, 0, wanted)
+    narrow = df.select(*keys, "idx", *dict.fromkeys(r.x for r in recurrences))
+    blocks = with_halo(narrow, rows, 0).join(block_carries(narrow, keys, recurrences, rows, 0), [*keys, "block"])
+    w = Window.partitionBy(*keys, "block").orderBy("idx")
+    return blocks.select(*keys, "idx", *[scan(r, w, rows, 0).alias(r.name) for r in recurrences])
+
+
 def _fold(parts: Column, step: float) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda acc, part: acc * step + part)
 

@@ -300,16 +300,25 @@ bars AS (
 )"""
 
 
-@register(f"""WITH RECURSIVE {_ALL}, {_ema_steps((9, 12, 26, 50))}, {_rsi_steps((14, 9))}, {_MACD},
+_ENRICHED = f"""WITH RECURSIVE {_ALL}, {_ema_steps((9, 12, 26, 50))}, {_rsi_steps((14, 9))}, {_MACD},
 m AS (SELECT *, {_mean(20)} AS sma20, {_mean(50)} AS sma50, {_mean(200)} AS sma200,
       CASE WHEN i >= 19 THEN stddev_pop(close) OVER (PARTITION BY symbol ORDER BY i
         ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sg,
       greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
-      {_mean(20, 'volume')} AS av FROM bars),
+      {_mean(20, 'volume')} AS av,
+      sum((high + low + close) / 3 * volume) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)
+        / sum(volume) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS vw,
+      CASE WHEN i >= 20 THEN stddev_samp(close / pc - 1) OVER (PARTITION BY symbol ORDER BY i
+        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS vol FROM bars),
 e AS (SELECT *, lag(e12) OVER w AS p12, lag(e26) OVER w AS p26 FROM emas
       WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 f AS (SELECT *, min(rsi14) OVER w AS lo, max(rsi14) OVER w AS hi, count(rsi14) OVER w AS n FROM rsis
-      WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+      WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))"""
+_JOINED = """FROM m JOIN e ON m.symbol = e.symbol AND m.i = e.i JOIN f ON m.symbol = f.symbol AND m.i = f.i
+  JOIN k ON m.symbol = k.symbol AND m.i = k.i"""
+
+
+@register(f"""{_ENRICHED}
 SELECT m.interval, m.sym AS symbol, CAST(m.date AS VARCHAR) AS date, m.close,
        round(coalesce((m.close - m.pc) / m.pc * 100, 0), 4) AS price_change_pct,
        round(sma20, 4) AS sma20, round(sma50, 4) AS sma50, round(sma200, 4) AS sma200,
@@ -322,22 +331,43 @@ SELECT m.interval, m.sym AS symbol, CAST(m.date AS VARCHAR) AS date, m.close,
        coalesce(line > s AND pl <= ps, FALSE) AS macd_bullish_cross,
        round(sma20 + 2 * sg, 4) AS bb_upper, round(sma20 - 2 * sg, 4) AS bb_lower,
        round({_mean(14, 'tr').replace('symbol', 'm.symbol').replace(' i ', ' m.i ')}, 4) AS atr14,
-       m.volume > 2 * av AS volume_spike
-FROM m JOIN e ON m.symbol = e.symbol AND m.i = e.i JOIN f ON m.symbol = f.symbol AND m.i = f.i
-  JOIN k ON m.symbol = k.symbol AND m.i = k.i""")
+       m.volume > 2 * av AS volume_spike, round(vw, 4) AS vwap, round(vol, 4) AS volatility
+{_JOINED}""")
 def price_history(spark: SparkSession, sf: str) -> DataFrame:
     """All indicators for daily, weekly and monthly bars in one pass."""
-    bars = B.all_intervals(_daily(spark, sf))
-    full = I.enrich(bars, [f for f in I.FEATURES if f not in ("vwap", "volatility")], keys=("interval", "symbol"))
+    full = _all_features(spark, sf)
     columns = ("price_change_pct", "sma20", "sma50", "sma200", "ema9", "ema12", "ema26", "ema50", "ema_crossover",
                "rsi14", "rsi9", "stoch_rsi", "macd_line", "macd_signal", "macd_bullish_cross", "bb_upper",
-               "bb_lower", "atr14", "volume_spike")
+               "bb_lower", "atr14", "volume_spike", "vwap", "volatility")
     types = dict(full.dtypes)
     rows = full.select("interval", "symbol", "date", "close", *[
         F.round(c, 4).alias(c) if types[c] == "double" else F.col(c) for c in columns])
     return _dated(rows)
 
 
+def _all_features(spark: SparkSession, sf: str) -> DataFrame:
+    # Bars are read several times: to be numbered, summed up and cut.
+    bars = stored(B.all_intervals(_daily(spark, sf)), "all_intervals")
+    return I.enrich(bars, keys=("interval", "symbol"))
+
+
+@register(f"""{_ENRICHED}
+SELECT m.interval, m.sym AS symbol, CAST(m.date AS VARCHAR) AS date, m.volume,
+       round(sma20, 4) AS sma20, round((m.close - sma50) / sma50 * 100, 4) AS price_vs_sma50, round(e50, 4) AS ema50,
+       CASE WHEN p12 <= p26 AND e12 > e26 THEN 'bullish' WHEN p12 >= p26 AND e12 < e26 THEN 'bearish' END AS crossover_12_26,
+       round(rsi9, 4) AS rsi9, coalesce(rsi14 < 30, FALSE) AS oversold, round(s, 4) AS signal_line,
+       round(line - s, 4) AS histogram, round(sma20 + 2 * sg, 4) AS upper, round(vw, 4) AS vwap,
+       round({_mean(14, 'tr').replace('symbol', 'm.symbol').replace(' i ', ' m.i ')}, 4) AS atr14
+{_JOINED}""")
+def nested_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested document of each bar, opened again at some of its fields."""
+    fields = ("sma.sma20", "sma.price_vs_sma50", "ema.ema50", "ema.crossover_12_26", "rsi.rsi9", "rsi.oversold",
+              "macd.signal_line", "macd.histogram", "bollinger.upper", "volume.vwap", "atr.atr14")
+    rows = I.nested_history(_all_features(spark, sf)).select(
+        "interval", "symbol", "date", "volume", *[F.col(f"indicators.{f}") for f in fields])
+    return _dated(rows.withColumns({c: F.round(c, 4) for c, kind in rows.dtypes if kind == "double"}))
+
+
 # The 'ta' dialect: averages start at the first value.
 TA = f"""{EOD},
 x AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
