@@ -176,21 +176,40 @@ def quote_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("symbol", first.alias("first_bull"), F.size("forecast_3day").alias("dates"))
 
 
-@register(f"""WITH {NEWS}, {REFS},
+_RANKED = f"""WITH {NEWS}, {REFS},
 c AS (SELECT id, ticker, published AS date, {sql_classify(fixed.NEWS_CATEGORIES)} AS category, summary, source,
              coalesce(s, 0) AS semantic_score FROM txt LEFT JOIN sem ON id = vec_id)
 SELECT ticker, CAST(date AS VARCHAR) AS date, category, summary, source, semantic_score,
-       row_number() OVER (PARTITION BY ticker, date, category ORDER BY semantic_score DESC, id) AS rank FROM c""")
-def ranked_news_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked articles written as nested documents and read back."""
+       row_number() OVER (PARTITION BY ticker, date, category ORDER BY semantic_score DESC, id) AS rank FROM c"""
+
+
+def _ranked_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.news(spark, sf).withColumn("t", T.article_text()).select(
         "id", "ticker", F.col("published").alias("date"), T.classify("t", fixed.NEWS_CATEGORIES).alias("category"),
         "summary", "source")
+    return _with_semantic(spark, sf, rows)
+
+
+@register(_RANKED)
+def ranked_news_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked articles written as nested documents and read back."""
     path = shared_dir(spark, "ranked-news")
-    news_files.write_ranked_news(_with_semantic(spark, sf, rows), path)
+    news_files.write_ranked_news(_ranked_rows(spark, sf), path)
     return news_files.read_ranked_news(spark, path).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+@register(_RANKED)
+def keyed_news_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The same articles as objects keyed by ticker, with the news below the first key that says so."""
+    path = shared_dir(spark, "keyed-news")
+    rows = news_files.nest_ranked_news(_ranked_rows(spark, sf))
+    nothing = F.map_filter("30_day_news", lambda date, news: F.lit(False))
+    keyed = F.create_map("ticker", F.create_map(F.lit("about"), nothing, F.lit("30_day_news"), F.col("30_day_news")))
+    docs = rows.select(F.to_json(keyed).alias("value"))
+    docs.write.text(path)
+    return news_files.read_keyed_news(spark, path, lines=True).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 @register(f"""WITH {NEWS}, {SIGNAL},
 d AS (SELECT ticker, count(*) AS total_signals, round(avg(round(polarity, 4)), 10) AS avg_sentiment_polarity,
              round(avg(semantic), 10) AS avg_semantic_impact, {_BUCKETS} FROM art GROUP BY 1)

@@ -16,7 +16,7 @@ from tickerloom.operators import news as N
 from tickerloom.operators import strategy
 from tickerloom.plans import views as V
 from tickerloom.plans.news_queries import COMPANIES, NEWS, companies, sql_any
-from tickerloom.plans.registry import register
+from tickerloom.plans.registry import ORACLE, register
 from tickerloom.plans.series_queries import EOD, TA
 from tickerloom.plans.stored import stored
 from tickerloom.session import shared_dir
@@ -523,32 +523,42 @@ def trade_plan(spark: SparkSession, sf: str) -> DataFrame:
         joined("reading").alias("readings"), joined("interpretation").alias("readings_mean"))
 
 
+# The given articles' tickers T0 to T24 stand for the 25 brands.
+_BRAND = "'Brand#' || (CAST(substring(ticker, 2) AS INTEGER) // 5 + 1) || (CAST(substring(ticker, 2) AS INTEGER) % 5 + 1)"
 INSIGHTS = f"""WITH RECURSIVE {PLAN},
-n AS (SELECT p_brand AS symbol, count(*) AS c FROM part GROUP BY 1)
-SELECT symbol AS ticker, current_price, plan.signal, coalesce(c, 0) AS news_count,
-       CASE WHEN c IS NULL THEN 'No recent news found.' ELSE 'ready' END AS news_summary, 'Neutral' AS verdict
+notes AS (SELECT {_BRAND} AS symbol, context FROM ({ORACLE["note_context"]})),
+counts AS (SELECT {_BRAND} AS symbol, count(*) AS c FROM (SELECT 'T' || (doc_id % 25) AS ticker FROM documents) GROUP BY 1),
+funds AS (SELECT p_brand AS symbol, round(sum(p_retailprice), 2) AS market_cap, round(avg(p_size), 4) AS pe_ratio
+          FROM part WHERE p_size > 0 GROUP BY 1)
+SELECT symbol AS ticker, market_cap, pe_ratio, current_price, plan.signal, coalesce(c, 0) AS news_count,
+       coalesce(context, 'No recent news found.') AS news_summary, 'Neutral' AS verdict
 FROM (SELECT DISTINCT p_brand AS symbol FROM part) u LEFT JOIN snap USING (symbol) LEFT JOIN plan USING (symbol)
-  LEFT JOIN n USING (symbol)"""
+  LEFT JOIN notes USING (symbol) LEFT JOIN counts USING (symbol) LEFT JOIN funds USING (symbol)"""
 
 
 def _insights(spark: SparkSession, sf: str) -> DataFrame:
-    """Insight documents written and read back."""
+    """Insight documents with all their sections, written and read back."""
     snap = I.latest_snapshot(stored(V.eod(spark, sf), "eod"))
     part = V.table(spark, sf, "part")
-    key = F.col("symbol").alias("ticker")
     universe = part.select(F.col("p_brand").alias("ticker")).distinct()
-    counts = part.groupBy(F.col("p_brand").alias("ticker")).agg(
-        F.count(F.lit(1)).alias("news_count")).withColumn("news_summary", F.lit("ready"))
+    number = F.substring("ticker", 2, 9).cast("int")
+    news = V.news(spark, sf).withColumn("ticker", F.concat(
+        F.lit("Brand#"), F.floor(number / 5) + 1, number % 5 + 1))
+    notes = N.note_context(news).withColumnRenamed("context", "news_summary").join(
+        news.groupBy("ticker").agg(F.count(F.lit(1)).alias("news_count")), "ticker")
+    fundamentals = part.filter("p_size > 0").groupBy(F.col("p_brand").alias("ticker")).agg(
+        F.round(F.sum("p_retailprice"), 2).alias("market_cap"), F.round(F.avg("p_size"), 4).alias("pe_ratio"))
     docs = insights.assemble_insights(
-        universe, F.lit(ASOF).cast("timestamp"), None, snap.select(key, *snap.columns[1:]),
-        strategy.trade_plan(snap).withColumnRenamed("symbol", "ticker"), counts)
+        universe, F.lit(ASOF).cast("timestamp"), fundamentals, snap.withColumnRenamed("symbol", "ticker"),
+        strategy.trade_plan(snap).withColumnRenamed("symbol", "ticker"), notes)
     path = shared_dir(spark, "insights")
     sinks.write_insights(docs, path)
     return spark.read.schema(docs.schema).json(path)
 
 
 def _shown(docs: DataFrame) -> DataFrame:
-    return docs.select("ticker", F.col("technicals.current_price").alias("current_price"),
+    return docs.select("ticker", "fundamentals.market_cap", "fundamentals.pe_ratio",
+                       F.col("technicals.current_price").alias("current_price"),
                        F.col("trade_report.signal").alias("signal"), "news_count", "news_summary",
                        F.col("sentiment.verdict").alias("verdict"))
 

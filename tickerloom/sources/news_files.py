@@ -109,13 +109,14 @@ def read_ranked_news(spark: SparkSession, path: str) -> DataFrame:
     return _unnest(docs.select("ticker", "part", F.col("30_day_news").alias("news")))
 
 
-def read_keyed_news(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows of JSON objects ``{ticker: {"..._news": {date: {category: [...]}}}}``, one object per file.
+def read_keyed_news(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The same rows of JSON objects ``{ticker: {"..._news": {date: {category: [...]}}}}``, one object per file or line.
 
-    The first key containing ``_news`` counts.
+    The first key containing ``_news`` counts.  Files of lines are split at their ends, so no
+    task holds a whole file.
     """
     inner = "map<string,map<string,array<struct<summary:string,source:string,semantic_score:double>>>>"
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=not lines)
     tickers = raw.select(F.explode(F.from_json("value", f"map<string,map<string,{inner}>>")).alias("ticker", "doc"))
     key = F.get(F.filter(F.map_keys("doc"), lambda k: F.contains(k, F.lit("_news"))), 0)
     return _unnest(tickers.select("ticker", F.lit(0).cast("bigint").alias("part"), F.try_element_at("doc", key).alias("news")))
