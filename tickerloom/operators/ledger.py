@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -207,11 +207,11 @@ def _fold_waiting(known: DataFrame, waiting: DataFrame, borders: list[tuple[int,
         # Nothing lies between these stretches and the known state.
         return fold(rows.unionByName(_as_rows(places.join(start[0], "user_id"), "balance").unionByName(
             _as_rows(places.join(start[1].filter("held <> 0"), "user_id"), "avg_cost", "held"))))
-    changes = _if_all_accepted(rows)
     results: list[tuple[DataFrame, set[tuple[int, int]]]] = []
     state, changed = None, set(borders)
     while changed:
-        guess = _border_states(places, start, changes)
+        guess = _first_guess(places, start, _if_all_accepted(rows)) if state is None else _next_guess(
+            places, start, state, _latest(results, places.schema))
         if state is not None:
             changed = {(r.user_id, r.stretch) for r in _differing(state, guess).collect()}
             if not changed:
@@ -221,7 +221,6 @@ def _fold_waiting(known: DataFrame, waiting: DataFrame, borders: list[tuple[int,
         done = stored(fold(rows.unionByName(state).join(again, ["user_id", "stretch"], "left_semi").select(*rows.columns)),
                       "ledger")
         results = [(table, kept - changed) for table, kept in results] + [(done, changed)]
-        changes = _changes(_latest(results, places.schema), state)
     return _latest(results, places.schema)
 
 
@@ -267,34 +266,54 @@ def _if_all_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cash, held
 
 
-def _changes(ledger: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each stretch, as folded from ``state``, did to balance and positions."""
-    before = state.filter(F.col("kind") == _BORDER_BALANCE).select("user_id", "stretch", F.col("price").alias("before"))
-    left = ledger.groupBy("user_id", "stretch").agg(F.max_by("balance_after", "seq").alias("after"))
-    cash = left.join(before, ["user_id", "stretch"], "left").select(
-        "user_id", "stretch", (F.col("after") - F.col("before")).alias("change"))
-    had = state.filter(F.col("kind") == _BORDER_POSITION).select(
-        "user_id", "stretch", "symbol", F.col("quantity").alias("before"))
-    held = _held(ledger, ["user_id", "stretch", "symbol"]).join(had, ["user_id", "stretch", "symbol"], "left").select(
-        "user_id", "stretch", "symbol", (F.col("held") - F.coalesce("before", F.lit(0.0))).alias("change"),
-        F.when(F.col("held") != 0, F.col("avg_cost")).alias("avg_cost"))
-    return cash, held
-
-
-def _border_states(places: DataFrame, start: tuple[DataFrame, DataFrame], changes: tuple[DataFrame, DataFrame]) -> DataFrame:
+def _first_guess(places: DataFrame, start: tuple[DataFrame, DataFrame], changes: tuple[DataFrame, DataFrame]) -> DataFrame:
     """State before each stretch as rows: the user's known state and the changes of the stretches before."""
     before = Window.partitionBy("user_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     cash = places.join(start[0], "user_id").join(changes[0], ["user_id", "stretch"], "left").select(
         "user_id", "stretch", (F.col("balance") + F.coalesce(F.sum("change").over(before), F.lit(0.0))).alias("balance"))
-    symbols = start[1].select("user_id", "symbol").union(changes[1].select("user_id", "symbol")).distinct()
     by = Window.partitionBy("user_id", "symbol").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    every = places.join(symbols, "user_id").join(changes[1], ["user_id", "stretch", "symbol"], "left").join(
-        start[1].withColumnRenamed("avg_cost", "first_cost"), ["user_id", "symbol"], "left")
-    held = every.select(
+    held = _every_symbol(places, start[1], changes[1]).select(
         "user_id", "stretch", "symbol",
-        (F.coalesce("held", F.lit(0.0)) + F.coalesce(F.sum("change").over(by), F.lit(0.0))).alias("held"),
-        F.coalesce(F.last("avg_cost", ignorenulls=True).over(by), F.col("first_cost"), F.lit(0.0)).alias("avg_cost"),
-    ).filter("held <> 0")
+        (F.col("first_held") + F.coalesce(F.sum("change").over(by), F.lit(0.0))).alias("held"),
+        F.coalesce(F.last("avg_cost", ignorenulls=True).over(by), "first_cost").alias("avg_cost"))
+    return _as_rows(cash, "balance").unionByName(_as_rows(held.filter("held <> 0"), "avg_cost", "held"))
+
+
+def _every_symbol(places: DataFrame, start: DataFrame, of_stretch: DataFrame) -> DataFrame:
+    """A row for each stretch and symbol of its user, with what is known at first and of the stretch."""
+    symbols = start.select("user_id", "symbol").union(of_stretch.select("user_id", "symbol")).distinct()
+    first = start.select("user_id", "symbol", F.col("held").alias("first_held"), F.col("avg_cost").alias("first_cost"))
+    rows = places.join(symbols, "user_id").join(of_stretch, ["user_id", "stretch", "symbol"], "left").join(
+        first, ["user_id", "symbol"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("first_held", "first_cost")})
+
+
+def _next_guess(places: DataFrame, start: tuple[DataFrame, DataFrame], state: DataFrame, ledger: DataFrame) -> DataFrame:
+    """State before each stretch: what the stretch before left, moved by all differences at the borders before that.
+
+    Where no border before differs, this is exactly what the stretch before left.
+    """
+    def moved(left: Column, entered: Column, by: WindowSpec) -> tuple[Column, Column]:
+        return left, F.coalesce(F.sum(left - entered).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+
+    user, symbol = (Window.partitionBy(*k).orderBy("stretch") for k in (["user_id"], ["user_id", "symbol"]))
+    entered = state.filter(F.col("kind") == _BORDER_BALANCE).select("user_id", "stretch", F.col("price").alias("before"))
+    after = ledger.groupBy("user_id", "stretch").agg(F.max_by("balance_after", "seq").alias("after"))
+    cash = places.join(start[0], "user_id").join(entered, ["user_id", "stretch"]).join(after, ["user_id", "stretch"]).withColumn(
+        "left", F.coalesce(F.lag("after").over(user), "balance"))
+    value, shift = moved(F.col("left"), F.col("before"), user)
+    cash = cash.select("user_id", "stretch", (value + shift).alias("balance"))
+
+    had = state.filter(F.col("kind") == _BORDER_POSITION).select(
+        "user_id", "stretch", "symbol", F.col("quantity").alias("before"))
+    touched = _held(ledger, ["user_id", "stretch", "symbol"]).withColumn("avg_cost", F.when(F.col("held") != 0, F.col("avg_cost")))
+    of_stretch = had.join(touched, ["user_id", "stretch", "symbol"], "full")
+    every = _every_symbol(places, start[1], of_stretch).withColumn("before", F.coalesce("before", F.lit(0.0))).withColumn(
+        "left", F.coalesce(F.lag(F.coalesce("held", "before")).over(symbol), "first_held"))
+    value, shift = moved(F.col("left"), F.col("before"), symbol)
+    cost = F.last("avg_cost", ignorenulls=True).over(symbol.rowsBetween(Window.unboundedPreceding, -1))
+    held = every.select("user_id", "stretch", "symbol", (value + shift).alias("held"),
+                        F.coalesce(cost, "first_cost").alias("avg_cost")).filter("held <> 0")
     return _as_rows(cash, "balance").unionByName(_as_rows(held, "avg_cost", "held"))
 
 
