@@ -371,7 +371,10 @@ def test_line_dedup(spark, odd_docs, no_docs):
 
 # --- URLs
 
-def test_urls(spark):
+@pytest.mark.parametrize("digits", [8, 1])
+def test_urls(spark, monkeypatch, digits):
+    # With one digit nearly all expressions meet rules that are not theirs.
+    monkeypatch.setattr(url_filter, "PREFIX_DIGITS", digits)
     urls = [None, "", "no scheme", "http://A.Example.org/es/x?y#z", "https://example.org/en/12", "ftp://x.com/fr/", "x://com",
             "http://b.com/de/1", "http://com/de/1", "http://badexample.org/es/", "http://h.net/p", "http://q.org?/es/", "://org/a://b",
             "http://o.org/line\nbreak"]
@@ -396,6 +399,9 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute(urls[3] if r.page_id is None else urls[r.page_id])
     assert {r.verdict for r in url_filter.judge_urls(pages, url_filter.rules_table(pages, rules).filter("false")).collect()} == {"allow"}
     assert url_filter.judge_urls(pages.filter("false"), url_filter.rules_table(pages, rules)).count() == 0
+    plan = url_filter.judge_urls(pages, url_filter.rules_table(pages, rules))._jdf.queryExecution().sparkPlan().toString()
+    keys = re.findall(r"Join \[([^\]]*)\], \[([^\]]*)\]", plan)
+    assert [[k.split("#")[0] for k in pair] for pair in keys] == [["prefix", "rule_prefix"]]
 
 
 # --- shards

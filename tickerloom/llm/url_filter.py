@@ -2,7 +2,8 @@
 
 A URL is expanded into expressions, a suffix of its host at a label with a beginning of its
 path, of the sizes that any rule has.  Expressions meet rules in an equi-join on the first
-bytes of a digest; the whole digest confirms, and the longest rule wins.
+four bytes of a digest, an integer; the rest of the digest is compared inside the aggregate
+that finds the longest rule, where no optimizer can turn it into a join key.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.line_dedup import ascii_lower
 
-#: Hexadecimal digits of a digest that the join compares.
+#: Hexadecimal digits of a digest that the join compares as one number.
 PREFIX_DIGITS = 8
 DEFAULT_VERDICT = "allow"
 
@@ -33,6 +34,14 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def _prefix(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, PREFIX_DIGITS), 16, 10).cast("long")
+
+
+def _rest(digest: Column) -> Column:
+    return F.unhex(F.substring(digest, PREFIX_DIGITS + 1, 64))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Each row's ``host``, ``path``, ``rule`` and ``verdict``.
 
@@ -50,7 +59,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                     F.collect_set(F.length("rule_path")).alias("lengths")).first()
     labels, lengths = sorted(sizes.labels), sorted(sizes.lengths)
     digest = _digest(F.col("rule_host"), F.col("rule_path"))
-    listed = own.select(F.substring(digest, 1, PREFIX_DIGITS).alias("prefix"), digest.alias("rule_digest"),
+    listed = own.select(_prefix(digest).alias("rule_prefix"), _rest(digest).alias("rule_rest"),
                         "rule_host", "rule_path", F.col("verdict").alias("rule_verdict"))
 
     rows = pages.select(
@@ -65,15 +74,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     expanded = rows.select(
         "row", "id", "host", "path", F.explode_outer(F.array_compact(suffixes)).alias("suffix"),
         F.array_compact(starts).alias("starts")).select(
-        "row", "id", "host", "path", "suffix", F.explode_outer("starts").alias("start")).withColumn(
-        "digest", _digest(F.col("suffix"), F.col("start")))
-    met = expanded.join(
-        listed, (F.substring("digest", 1, PREFIX_DIGITS) == F.col("prefix")) & (F.col("digest") == F.col("rule_digest")),
-        "left")
+        "row", "id", "host", "path", "suffix", F.explode_outer("starts").alias("start")).select(
+        "row", "id", "host", "path", _digest(F.col("suffix"), F.col("start")).alias("digest")).select(
+        "row", "id", "host", "path", _prefix(F.col("digest")).alias("prefix"), _rest(F.col("digest")).alias("rest"))
+    met = expanded.join(listed, F.col("prefix") == F.col("rule_prefix"), "left")
     rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"),
                     F.col("rule_verdict") == "block", F.concat("rule_host", "rule_path").alias("rule"),
                     F.col("rule_verdict").alias("verdict"))
-    best = met.groupBy("row", "id", "host", "path").agg(F.max(F.when(F.col("rule_host").isNotNull(), rank)).alias("best"))
+    # A row's values are the same in all its expressions: they are carried, and only the row's number is a key.
+    best = met.groupBy("row").agg(
+        *[F.first(c).alias(c) for c in ("id", "host", "path")],
+        F.max(F.when(F.col("rest") == F.col("rule_rest"), rank)).alias("best"))
     return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
                        F.coalesce("best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
 
