@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.line_dedup import ascii_lower
+from tickerloom.plans.stored import stored
 
 #: Hexadecimal digits of a digest that the join compares as one number.
 PREFIX_DIGITS = 8
@@ -52,8 +53,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     has an empty host and path; a null id is kept; repeated rows are judged each; other
     columns are left out; rules with a null field are ignored.
     """
-    own = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").filter(
-        "rule_host IS NOT NULL AND rule_path IS NOT NULL AND verdict IS NOT NULL").distinct()
+    # Written, so that Spark knows their size: few rules are broadcast below its threshold, and a URL's expressions
+    # fold into one row before they move; many rules are joined by sorting.
+    own = stored(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").filter(
+        "rule_host IS NOT NULL AND rule_path IS NOT NULL AND verdict IS NOT NULL").distinct(), "url_rules")
     # The numbers of labels and the lengths of paths among the rules: two short lists at any number of rules.
     sizes = own.agg(F.collect_set(F.size(F.split("rule_host", "[.]"))).alias("labels"),
                     F.collect_set(F.length("rule_path")).alias("lengths")).first()
