@@ -1,13 +1,15 @@
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions import labels, numbers, text as T
-from tickerloom.functions.vectors import cosine_max, reference_vectors, semantic_filter_score
 from tickerloom.operators import news as N
+from tickerloom.operators.similarity import best_cosine, reference_vectors
 from tickerloom.plans.blocks import number_rows
 
 
@@ -110,13 +112,12 @@ def test_first_seen_with_a_hot_key(spark):
     assert kept == set(first.values())
 
 
-@pytest.mark.parametrize("limit", [1, 7, 1024])
-def test_rank_is_whole_and_stable_in_a_hot_group(spark, monkeypatch, limit):
-    monkeypatch.setattr(N, "ORDINAL_RANGES", limit)
+@pytest.mark.parametrize("spans", [1, 7, 40])
+def test_rank_is_whole_and_stable_in_a_hot_group(spark, spans):
     rnd = random.Random(2)
     rows = [(i * 400_000, rnd.choice("AAAB"), None if i % 5 == 0 else "d", rnd.choice([0.0, 0.0, 0.25, 0.5])) for i in range(300)]
     df = spark.createDataFrame(rows, "id bigint, ticker string, date string, semantic_score double")
-    got = {r["id"]: r["rank"] for r in N.rank_articles(df, ["ticker", "date"]).collect()}
+    got = {r["id"]: r["rank"] for r in N.rank_articles(df, ["ticker", "date"], spans=spans).collect()}
     want = {}
     for key in {(r[1], r[2]) for r in rows}:
         group = sorted([r for r in rows if (r[1], r[2]) == key], key=lambda r: (-r[3], r[0]))
@@ -188,13 +189,63 @@ def test_headlines_volume_and_pivot(spark):
     assert N.news_volume(df).count() == 2
 
 
+def test_rank_spans_are_even_for_continuous_scores_and_an_outlying_id(spark):
+    n = 20_000
+    df = spark.range(n).select(
+        F.when(F.col("id") == 7, F.lit(2 ** 62)).otherwise(F.col("id")).alias("id"), F.lit("A").alias("ticker"),
+        F.when(F.col("id") % 11 > 0, F.rand(3)).alias("semantic_score"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    ranked = N.rank_articles(df, ["ticker"], spans=10)
+    rows = ranked.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, n + 1))
+    key = [(r["semantic_score"] is None, -(r["semantic_score"] or 0), r["id"]) for r in rows]
+    assert key == sorted(key)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    path = re.search(r"[^ \[]*ranked_spans[^\],]*", str(ranked.inputFiles()[0])).group(0).rsplit("/", 1)[0].strip("'")
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 2 * n / 10 and "Window" in plan
+
+
+def test_rank_of_no_rows(spark):
+    none = spark.createDataFrame([], "id bigint, ticker string, semantic_score double")
+    assert N.rank_articles(none, ["ticker"]).collect() == []
+
+
+def test_polarity_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "!! good ??"), (4, "good Bad other bad"), (5, "other")],
+                               "id int, summary string")
+    lex = spark.createDataFrame([("good", 1.0), ("bad", -0.5), ("", 9.0), (None, 9.0)], "word string, polarity double")
+    got = {r["id"]: r["polarity"] for r in N.with_polarity(df, lex).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 0.0}
+    assert N.with_polarity(df, lex.limit(0)).filter("polarity = 0").count() == 5
+
+
 def test_cosine(spark):
-    vec = spark.createDataFrame([(1, 0, [3.0, 4.0]), (2, 1, [0.0, 2.0]), (3, 0, [9.0, 9.0]), (4, 2, None)],
+    vec = spark.createDataFrame([(1, 0, [3.0, 4.0]), (2, 1, [0.0, 2.0]), (3, 0, [9.0, 9.0]), (4, 2, None), (5, 3, [0.0, 0.0]),
+                                 (6, 3, [1.0, None]), (7, 3, [1.0]), (None, 3, [1.0, 1.0]), (8, 3, []), (3, 4, [3.0, 4.0])],
                                 "id int, label int, v array<float>")
     refs = reference_vectors(vec.filter("v IS NOT NULL"), "label", "id", "v", 2)
-    assert refs == [[3.0, 4.0], [0.0, 2.0]]
-    got = {r["id"]: r["c"] for r in vec.select("id", cosine_max("v", refs).alias("c")).collect()}
-    assert got == {1: 1.0, 2: 1.0, 3: 0.9899, 4: 0.0}
-    off = vec.select(semantic_filter_score("v", None).alias("c")).distinct().collect()
-    assert [r["c"] for r in off] == [1.0]
-    assert vec.filter("id = 4").select(semantic_filter_score("v", refs[0]).alias("c")).first()["c"] == 0.5
+    assert sorted(r["reference"] for r in refs.collect()) == [[0.0, 2.0], [3.0, 4.0]]
+    got = {r["id"]: r["score"] for r in best_cosine(vec, refs, "id", "v").collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.0, 5: 0.0, 6: 0.0}
+    alone = vec.filter("label = 0")
+    assert {r["id"]: r["score"] for r in best_cosine(alone, refs, "id", "v").collect()} == {1: 1.0, 3: 0.9899}
+    ids = vec.select("id").filter("id <= 4").distinct()
+    assert {r["score"] for r in N.semantic_filter(ids, vec, None, "id", "v").collect()} == {1.0}
+    one_ref = refs.filter("reference[0] > 0")
+    assert N.semantic_filter(ids, vec, one_ref, "id", "v").filter("id = 4").first()["score"] == 0.5
+    assert best_cosine(vec, refs.limit(0), "id", "v").count() == 0 and best_cosine(vec.limit(0), refs, "id", "v").count() == 0
+    odd = spark.createDataFrame([(None,), ([0.0, 0.0],), ([float("nan"), 1.0],)], "reference array<double>")
+    assert best_cosine(vec, odd, "id", "v").count() == 0
+
+
+def test_cosine_over_many_references_in_blocks(spark):
+    rnd = np.random.default_rng(5)
+    own, refs = rnd.normal(size=(300, 8)), rnd.normal(size=(1000, 8))
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([(v.tolist(),) for v in refs], "reference array<double>").repartition(3)
+    want = ((own / np.linalg.norm(own, axis=1)[:, None]) @ (refs / np.linalg.norm(refs, axis=1)[:, None]).T).max(axis=1)
+    for block_rows, slice_blocks in ((1024, 16), (64, 2)):
+        got = {r["id"]: r["score"] for r in best_cosine(
+            vec, table, digits=9, block_rows=block_rows, slice_blocks=slice_blocks).collect()}
+        assert len(got) == 300 and all(abs(got[i] - w) < 2e-9 for i, w in enumerate(want))

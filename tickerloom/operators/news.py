@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions import text as T
-from tickerloom.plans.blocks import number_rows
+from tickerloom.operators.similarity import best_cosine
 from tickerloom.plans.stored import stored
 
-# Ordinals are numbered inside this many ranges between the smallest and the largest.
-ORDINAL_RANGES = 1024
-
 
 def union_sources(*sources: DataFrame) -> DataFrame:
     """All sources under each other; ``source_ordinal`` keeps the order of the arguments."""
@@ -123,22 +120,28 @@ def top_articles(feed: DataFrame, companies: DataFrame, quota: int = 2, total: i
 
 
 def rank_articles(df: DataFrame, group: Sequence[str], score: str = "semantic_score", ordinal: str = "id",
-                  name: str = "rank") -> DataFrame:
+                  name: str = "rank", spans: int | None = None) -> DataFrame:
     """Position of every article in its group by score descending, then input order.
 
-    Groups are split by score and, within a score, by range of ordinals, so a group with a third of all rows, or a score shared by most of
-    them, is numbered by many tasks.  Scores must have few distinct values;
-    similarities have four decimals.  ``df`` is read three times: pass a stored
-    table without texts and join them by id.
+    Rows are dealt by range of (group, score, ordinal), with splitters from a sample, into spans
+    of about equal size whatever the scores and ordinals are, and sorted there.  A row's rank is
+    its place in its span, less that of its group's first row there, plus the group's rows in the
+    spans before: one small row per span that a group lies in.  Null scores come last, null
+    groups are groups.  ``df`` is read twice: pass a stored table without texts and join by id.
     """
-    ends = df.agg(F.min(ordinal).alias("low"), F.max(ordinal).alias("high")).first()
-    width = ((ends.high or 0) - (ends.low or 0)) // ORDINAL_RANGES + 1
-    split = df.withColumns({
-        "_level": F.col(score), "_span": F.floor((F.col(ordinal) - (ends.low or 0)) / width)})
-    out = number_rows(
-        split, group, ["_level", "_span"], bucket_order=[F.desc("_level"), F.asc("_span")],
-        row_order=[F.desc(score), F.asc(ordinal)], name=name, null_safe=True)
-    return out.withColumn(name, F.col(name) + 1).drop("_level", "_span")
+    spans = spans or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*[F.asc(g) for g in group], F.desc(score), F.asc(ordinal)]
+    # The upper bits of a place are its span, the lower ones the row's number in it.
+    placed = stored(df.repartitionByRange(spans, *order).sortWithinPartitions(*order).withColumn(
+        "_place", F.monotonically_increasing_id()), "ranked_spans").withColumn("_span", F.shiftright("_place", 33))
+    parts = placed.groupBy(*group, "_span").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(
+        *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], F.col("_span").alias("_s"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = [F.col("_span") == F.col("_s"), *[F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]]
+    return placed.join(shifts, same).select(
+        *[F.col(c) for c in df.columns], (F.col("_place") + F.col("_shift")).alias(name))
 
 
 def group_by_category(df: DataFrame, rules: Mapping[str, Sequence[str]] = fixed.NOTE_CATEGORIES,
@@ -192,13 +195,26 @@ def news_volume(df: DataFrame) -> DataFrame:
 def with_polarity(df: DataFrame, lexicon: DataFrame, text: str = "summary", keep: Sequence[str] = ("id",)) -> DataFrame:
     """Mean lexicon polarity of the whole text per article, 0 without a known word.
 
-    ``keep`` must identify the article.  All words of an article are met in one map
-    task, so the partial average sends one row per article through the shuffle.
+    ``keep`` must identify the article.  Words outside the lexicon fall away in the join; an
+    empty word, added to each article and to the lexicon without polarity, keeps the article.
+    All words of an article are met in one map task, so the partial average sends one row per
+    article through the shuffle.
     """
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    tokens = df.select(*keep, F.explode(words).alias("word"))
-    scored = tokens.join(lexicon.select("word", "polarity"), "word", "left")
-    return scored.groupBy(*keep).agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"))
+    held = F.concat(F.filter(words, lambda w: w != ""), F.array(F.lit("")))
+    tokens = df.select(*keep, F.explode(held).alias("word"))
+    end = lexicon.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast("double").alias("polarity"))
+    known = lexicon.filter("word <> ''").select("word", F.col("polarity").cast("double")).unionByName(end)
+    return tokens.join(known, "word").groupBy(*keep).agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"))
+
+
+def semantic_filter(df: DataFrame, vectors: DataFrame, references: DataFrame | None, id_col: str = "vec_id",
+                    vector: str = "embedding", ordinal: str = "id", digits: int = 12) -> DataFrame:
+    """``df`` with ``score``: cosine against the finance reference, 0.5 without a vector, 1 when the filter is off."""
+    if references is None:
+        return df.withColumn("score", F.lit(1.0))
+    scores = best_cosine(vectors, references, id_col, vector, digits=digits).withColumnRenamed("id", ordinal)
+    return df.join(scores, ordinal, "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
 
 
 def sentiment_pivot(df: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import fixed_values as fixed
 from tickerloom.functions import labels, text as T
-from tickerloom.functions.vectors import cosine_max, reference_vectors, semantic_filter_score
 from tickerloom.operators import news as N
 from tickerloom.operators import signals as S
+from tickerloom.operators.similarity import best_cosine, reference_vectors
 from tickerloom.plans import views as V
 from tickerloom.plans.registry import register
 from tickerloom.plans.stored import stored
@@ -180,7 +180,7 @@ def _with_semantic(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     vectors = V.table(spark, sf, "embeddings")
     refs = reference_vectors(vectors, "label", "vec_id", "embedding", 5)
     # Scores are computed on the vector table, so only (id, score) meets the articles.
-    scores = vectors.select(F.col("vec_id").alias("id"), cosine_max("embedding", refs).alias("semantic_score"))
+    scores = best_cosine(vectors, refs).withColumnRenamed("score", "semantic_score")
     return rows.join(scores, "id", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
 
 
@@ -197,10 +197,20 @@ SELECT doc_id AS id, CASE WHEN vec_id IS NULL THEN 0.5 ELSE
 FROM documents LEFT JOIN embeddings ON doc_id = vec_id""")
 def semantic_filter(spark: SparkSession, sf: str) -> DataFrame:
     vectors = V.table(spark, sf, "embeddings")
-    ref = reference_vectors(vectors, "label", "vec_id", "embedding", 1)[0]
-    scores = vectors.select(F.col("vec_id").alias("id"), semantic_filter_score("embedding", ref).alias("score"))
-    rows = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(scores, "id", "left")
-    return rows.select("id", F.round(F.coalesce("score", F.lit(0.5)), 6).alias("score"))
+    ref = reference_vectors(vectors, "label", "vec_id", "embedding", 1)
+    rows = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return N.semantic_filter(rows, vectors, ref, digits=6)
+
+
+@register("""WITH refs AS (SELECT embedding AS v FROM embeddings WHERE vec_id % 5 = 0)
+SELECT e.vec_id AS id,
+       round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(refs.v AS DOUBLE[]))), 4) AS score
+FROM embeddings e, refs WHERE e.vec_id % 5 <> 0 GROUP BY e.vec_id""")
+def nearest_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector that is no reference against a fifth of the table as references."""
+    vectors = V.table(spark, sf, "embeddings")
+    references = vectors.filter("vec_id % 5 = 0").select(F.col("embedding").alias("reference"))
+    return best_cosine(vectors.filter("vec_id % 5 <> 0"), references)
 
 
 SCORED = f"""scored AS (
