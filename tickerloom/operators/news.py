@@ -197,14 +197,14 @@ def with_polarity(df: DataFrame, lexicon: DataFrame, text: str = "summary", keep
 
     ``keep`` must identify the article.  Words outside the lexicon fall away in the join; an
     empty word, added to each article and to the lexicon without polarity, keeps the article.
-    All words of an article are met in one map task, so the partial average sends one row per
-    article through the shuffle.
+    The lexicon is written first, so that Spark knows its size: below its threshold it is
+    broadcast, all words of an article are met in one map task, and the partial average sends
+    one row per article through the shuffle.
     """
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    held = F.concat(F.filter(words, lambda w: w != ""), F.array(F.lit("")))
-    tokens = df.select(*keep, F.explode(held).alias("word"))
+    tokens = df.select(*keep, F.explode(F.array_append(words, F.lit(""))).alias("word"))
     end = lexicon.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast("double").alias("polarity"))
-    known = lexicon.filter("word <> ''").select("word", F.col("polarity").cast("double")).unionByName(end)
+    known = stored(lexicon.filter("word <> ''").select("word", F.col("polarity").cast("double")).unionByName(end), "lexicon")
     return tokens.join(known, "word").groupBy(*keep).agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"))
 
 
