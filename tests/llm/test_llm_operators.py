@@ -371,6 +371,16 @@ def test_line_dedup(spark, odd_docs, no_docs):
 
 # --- URLs
 
+def test_lines_are_sorted_where_they_lie(spark):
+    lines = spark.createDataFrame(
+        [(h, h, d, p) for h in range(50) for d in range(9) for p in (4, 2) if (h + d) % 3], "h1 long, h2 long, doc long, pos int")
+    firsts = line_dedup.first_occurrences(lines, 5)
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Sort [h1" in plan and plan.count("Exchange ") == plan.count("Exchange rangepartitioning") == 1
+    rows = [tuple(r) for part in firsts.rdd.glom().collect() for r in part]
+    assert rows == sorted({(r.h1, r.h2, r.doc) for r in lines.collect()})
+
+
 @pytest.mark.parametrize("digits", [8, 1])
 def test_urls(spark, monkeypatch, digits):
     # With one digit nearly all expressions meet rules that are not theirs.

@@ -1,15 +1,16 @@
 """Lines that repeat across documents, kept once.
 
 Only hashes of lines move, not lines.  They are dealt by range of (hash, document) and
-sorted by them, so that the documents of a line follow one another and a line that is very
-common spreads over many tasks.  Occurrences stream by: repeats inside a document fold
-into one, and a line's documents are counted and its last document found by mergeable
-aggregates.  What comes back is a run-length bitmap for each document with a dropped line.
+sorted by (hash, document, position), so that the documents of a line follow one another and
+a line that is very common spreads over many tasks.  Occurrences stream by in that order and
+only the first one of a line in a document goes on.  Each range counts a line's documents and
+notes its last one; lines that cross a border between ranges are merged.  What comes back is
+a run-length bitmap for each document with a dropped line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.plans.stored import stored
@@ -34,20 +35,30 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return line.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "doc", "copy", "pos")
 
 
+def first_occurrences(lines: DataFrame, parts: int) -> DataFrame:
+    """``h1``, ``h2`` and ``doc`` of the first occurrence of each line in each document, in order.
+
+    The window's keys are those of the ranges: rows are sorted where they lie and move no second time.
+    """
+    dealt = lines.select("h1", "h2", "doc", "pos").repartitionByRange(parts, "h1", "h2", "doc")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("pos"))
+    return dealt.withColumn("place", place).filter("place = 1").select("h1", "h2", "doc")
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``doc``, ``copy`` (a hash of the text) and ``runs`` of each document that loses lines.
 
     ``runs`` is the keep bitmap in run lengths: lines kept, dropped, kept, and so on, the
-    first of which may be 0.
+    first of which may be 0.  A null text has one empty line and loses none; a null id counts
+    as the smallest; rows of one id are one document, with a bitmap for each text; no rows give
+    none; other columns are not read.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)).alias("doc"),
                          F.xxhash64(text_col).alias("copy"), F.coalesce(text_col, F.lit("")).alias("text"))
     lines = stored(_lines(source, min_chars), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_lines = lines.select("h1", "h2", "doc").repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions(
-        "h1", "h2", "doc")
-    common = sorted_lines.groupBy("h1", "h2", "doc").agg(F.count("*").alias("times")).groupBy("h1", "h2").agg(
+    common = first_occurrences(lines, parts).groupBy("h1", "h2").agg(
         F.count("doc").alias("docs"), F.max("doc").alias("last")).filter(F.col("docs") >= min_docs).drop("docs")
     # A written table is a plain side of the join: Spark knows its size and can split a hot line.
     common = stored(common, "common_lines")
