@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -371,6 +372,44 @@ def test_line_dedup(spark, odd_docs, no_docs):
 
 # --- URLs
 
+def test_decoder_against_all_readings(monkeypatch):
+    """Every way to read a short unit is tried; paths are folded at every third step."""
+    rng = random.Random(44)
+    model = np.log(np.random.default_rng(4).dirichlet(np.ones(32), size=(32, 32)))
+    monkeypatch.setattr(toxicity, "_FOLD_STEPS", 3)
+    decoder = toxicity.Restorer(model)
+
+    def cost(readings):
+        x = y = 0
+        total = 0.0
+        for reading, price in readings:
+            total += price
+            for c in reading:
+                z = toxicity._class(c)
+                if z or y:
+                    total -= model[x][y][z]
+                    x, y = (y, z) if z else (0, 0)
+        return total
+    for _ in range(60):
+        unit = "".join(rng.choice("ab1i0$.-é—!") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randrange(1, 7)))
+        runs = [(c, len(list(g))) for c, g in itertools.groupby(unit.lower())]
+        ways = itertools.product(*[decoder._readings(c, n) for c, n in [*runs, ("\n", 1)]])
+        best = min(ways, key=cost)
+        assert decoder._decode(unit) == " ".join("".join(r for r, _ in best).split()), unit
+
+
+def test_decoder_takes_long_units_in_proportion():
+    model = np.log(np.full((32, 32, 32), 1 / 32))
+    decoder = toxicity.Restorer(model)
+    start = time.process_time()
+    short = decoder("a1b0.c" * 5_000)
+    middle = time.process_time()
+    long = decoder("a1b0.c" * 50_000)
+    assert len(long) == 10 * len(short) and long.startswith(short[:20_000])
+    # Ten times the length; a path copied at each step would take a hundred times.
+    assert time.process_time() - middle < 40 * (middle - start)
+
+
 def test_lines_are_sorted_where_they_lie(spark):
     lines = spark.createDataFrame(
         [(h, h, d, p) for h in range(50) for d in range(9) for p in (4, 2) if (h + d) % 3], "h1 long, h2 long, doc long, pos int")

@@ -124,6 +124,28 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((cube + 5 * pairs[None]) / (cube.sum(axis=2, keepdims=True) + 5))
 
 
+#: Steps after which the last readings of a path become one piece, and the longest unit whose words are remembered.
+_FOLD_STEPS = 4096
+_SEEN_CHARS = 1000
+
+
+def _folded(path: tuple | None) -> tuple | None:
+    """The path with its readings since the last long piece as one piece, marked by a third field."""
+    pieces = []
+    while path is not None and len(path) == 2:
+        pieces.append(path[1])
+        path = path[0]
+    return (path, "".join(reversed(pieces)), True) if pieces else path
+
+
+def _path_text(path: tuple | None) -> str:
+    pieces = []
+    while path is not None:
+        pieces.append(path[1])
+        path = path[0]
+    return "".join(reversed(pieces))
+
+
 class Restorer:
     """The likeliest words behind a unit."""
 
@@ -153,10 +175,11 @@ class Restorer:
                 chars[-1] = (c, chars[-1][1] + 1)
             else:
                 chars.append((c, 1))
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for char, times in [*chars, ("\n", 1)]:
-            found: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+        # A path points back to the one it goes on from, so a step costs the same at any length.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for step, (char, times) in enumerate([*chars, ("\n", 1)], 1):
+            found: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in best.items():
                 for reading, price in self._readings(char, times):
                     x, y, total = a, b, cost + price
                     for c in reading:
@@ -165,15 +188,20 @@ class Restorer:
                             total -= self.model[x][y][z]
                             x, y = (y, z) if z else (0, 0)
                     if (x, y) not in found or total < found[x, y][0]:
-                        found[x, y] = (total, text + reading)
+                        found[x, y] = (total, (path, reading) if reading else path)
             best = found
-        return " ".join(min(best.values())[1].split())
+            if step % _FOLD_STEPS == 0:
+                best = {state: (cost, _folded(path)) for state, (cost, path) in best.items()}
+        least = min(cost for cost, _ in best.values())
+        return " ".join(min(_path_text(path) for cost, path in best.values() if cost == least).split())
 
     def __call__(self, unit: str) -> str:
         """Words in lower case, with one blank between them."""
         low = unit.lower()
         if low.isalpha() and all(a != b for a, b in zip(low, low[1:])):
             return low
+        if len(unit) > _SEEN_CHARS:
+            return self._decode(unit)
         if unit not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
