@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import ledger as L
+from tickerloom.plans import stream_queries
 from tickerloom.streaming import live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -55,6 +56,50 @@ def test_ledger_stream_equals_batch(spark, tmp_path, slices):
     assert sorted(got, key=lambda r: r[0]) == want
 
 
+def test_ledger_stream_keeps_few_timers_and_whole_pages(spark, tmp_path):
+    """Many trades share a timer and a page, and users with more positions than lie beside a balance keep them all."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
+    rnd = random.Random(3)
+    schema = "user_id bigint, trade_id bigint, ts timestamp, symbol string, side string, quantity double, price double"
+    names = [f"S{i}" for i in range(50)]
+    rows = [(5, i, T0 + dt.timedelta(seconds=i), names[i % 50], "BUY" if i < 60 else rnd.choice(L.SIDES),
+             float(rnd.randint(1, 3)), float(rnd.randint(1, 9))) for i in range(700)]
+    rows += [(None, None, T0 + dt.timedelta(seconds=9), "X", "BUY", 1.0, 2.0), (6, 701, None, "X", "BUY", 1.0, 2.0)]
+    users = spark.createDataFrame([(5, 2000.0)], "user_id bigint, balance double")
+    columns = ["trade_id", "status", "reject_reason", "entry_price", "realized_pnl", "balance_after"]
+    want = sorted(L.replay_trades(spark.createDataFrame(rows[:700], schema), users).filter(
+        "status <> 'OPENING'").select(columns).collect(), key=lambda r: r[0])
+    rnd.shuffle(rows)
+    late = [r for r in rows if r[1] is not None and r[1] % 3 == 0 and r[1] > 300]
+    frames = [spark.createDataFrame(part, schema) for part in (
+        [r for r in rows if r not in late], late, [(-1, 999, T0 + dt.timedelta(days=9), None, None, None, None)])]
+    out = live.stream_ledger(arrive(spark, str(tmp_path / "in"), frames), 2000.0, "10 minutes")
+    query = live.run_available(out, str(tmp_path / "out"), "append")
+    got = spark.read.parquet(str(tmp_path / "out" / "table"))
+    assert sorted(got.filter("user_id = 5").select(columns).collect(), key=lambda r: r[0]) == want
+    # The trade of nobody counts; the one without a time is dropped.
+    assert [r[0] for r in got.filter("user_id IS NULL").select("balance_after").collect()] == [1998.0]
+    assert got.filter("user_id = 6").count() == 0
+    timers = [o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert 0 < sum(timers) < 20
+
+
+def test_a_replayed_table_is_computed_once(spark, tmp_path):
+    """Bounds and slices of a replay read what one pass has written."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    rows = spark.range(90, numPartitions=2).select(
+        F.udf(seen, "bigint")("id").alias("user_id"), F.lit("S").alias("symbol"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"))
+    path = str(tmp_path / "w")
+    schema = stream_queries._replay(rows, "ts", "once", live.stream_watchlist, path, late_hours=3)
+    assert live.read_latest(spark, f"{path}/log", ["user_id", "symbol"], schema).count() == 90
+    assert calls.value == 90
+
+
 def test_dedup_watchlist_and_signals(spark, tmp_path):
     arts = [(i, f"Title {i % 4}!", T0 + dt.timedelta(hours=i)) for i in range(12)]
     df = spark.createDataFrame(arts, "id bigint, title string, published timestamp")

@@ -14,6 +14,7 @@ from tickerloom.plans.news_queries import (
 )
 from tickerloom.plans.portfolio_queries import BALANCE, LEDGER
 from tickerloom.plans.registry import register
+from tickerloom.plans.stored import stored
 from tickerloom.session import shared_dir
 from tickerloom.streaming import live
 
@@ -33,11 +34,13 @@ def _replay(df: DataFrame, order: str, name: str, build: Callable[[DataFrame], D
     at = F.col(order).cast("timestamp")
     if late_hours:
         at += F.make_interval(hours=F.pmod(F.xxhash64(*df.columns), F.lit(late_hours + 1)).cast("int"))
-    df = df.withColumn("_at", at)
+    # Bounds and slices read the rows as one pass has written them.
+    columns = df.columns
+    df = stored(df.withColumn("_at", at), f"{name}-timed")
     bounds = df.agg(F.percentile_approx("_at", [i / SLICES for i in range(1, SLICES)])).first()[0] or []
     place = sum((F.when(F.col("_at") > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    rows = df.drop("_at")
-    slices = [df.filter(place == i).drop("_at") for i in range(SLICES)]
+    rows = df.select(columns)
+    slices = [df.filter(place == i).select(columns) for i in range(SLICES)]
     for arrived in [*slices, last] if last is not None else slices:
         arrived.write.mode("append").parquet(source)
         stream = build(spark.readStream.schema(rows.schema).parquet(source))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,34 +35,84 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", late: str = "1 day") ->
     return bars.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
-_EPOCH = dt.datetime(1970, 1, 1)
-_WAITING = ("trades array<struct<trade_id: bigint, ts: timestamp, symbol: string, side: string, quantity: double, "
-            "price: double>>")
+# Users are dealt into buckets that share a timer and pages of waiting trades.  Fixed for a checkpoint.
+BUCKETS = 1024
+PAGE = 256
+# Positions of a user that are stored beside the balance.
+NEAR = 32
+# Decided trades that leave at once, and after which books go back to the state store.
+CHUNK = 10000
+
+_PAGE_SCHEMA = (
+    "at array<bigint>, trade_id array<bigint>, user_id array<bigint>, symbol array<string>, side array<string>, "
+    "quantity array<double>, price array<double>"
+)
+_BOOK_SCHEMA = "balance double, others bigint, symbol array<string>, quantity array<double>, avg_cost array<double>"
+_DECIDED_SCHEMA = LEDGER_STREAM_SCHEMA.replace("ts timestamp", "at bigint")
+_DECIDED = [c.split()[0] for c in _DECIDED_SCHEMA.split(", ")]
+
+
+def _order(trade: tuple) -> tuple[int, bool, int]:
+    """Trades go by time, then by id, those without an id first."""
+    return trade[0], trade[1] is not None, trade[1] or 0
 
 
 class _StoredPositions:
-    """A user's positions in the state store, by symbol; reads and writes only the symbol at hand."""
+    """A user's positions: up to ``NEAR`` of them beside the balance, the others in a state of their own, by symbol.
+
+    Of the others only the symbols at hand are read, and only those that changed are written.
+    """
 
-    def __init__(self, state) -> None:
-        self.state = state
+    def __init__(self, state, user_id: int | None, near: dict[str, tuple[float, float]], others: int) -> None:
+        self.state, self.user_id, self.near, self.others = state, user_id, near, others
+        self.far, self.far_changed, self.changed = {}, set(), False
+
+    def _other(self, symbol: str) -> tuple[float, float] | None:
+        if symbol not in self.far:
+            if not self.others:
+                return None
+            held = self.state.getValue((self.user_id, symbol))
+            self.far[symbol] = None if held is None else tuple(held)
+        return self.far[symbol]
 
     def get(self, symbol: str, default: tuple[float, float]) -> tuple[float, float]:
-        held = self.state.getValue((symbol,))
-        return default if held is None else tuple(held)
+        held = self.near.get(symbol) or self._other(symbol)
+        return default if held is None else held
 
     def __setitem__(self, symbol: str, position: tuple[float, float]) -> None:
-        self.state.updateValue((symbol,), position)
+        self.changed = True
+        if symbol in self.near or self._other(symbol) is None and len(self.near) < NEAR:
+            self.near[symbol] = position
+            return
+        if self._other(symbol) is None:
+            self.others += 1
+        self.far[symbol] = position
+        self.far_changed.add(symbol)
 
     def __delitem__(self, symbol: str) -> None:
-        self.state.removeKey((symbol,))
+        self.changed = True
+        if symbol in self.near:
+            del self.near[symbol]
+            return
+        self.others -= 1
+        self.far[symbol] = None
+        self.far_changed.add(symbol)
+
+    def save_others(self) -> None:
+        for symbol in self.far_changed:
+            if self.far[symbol] is None:
+                self.state.removeKey((self.user_id, symbol))
+            else:
+                self.state.updateValue((self.user_id, symbol), self.far[symbol])
 
 
 class LedgerProcessor(StatefulProcessor):
-    """Decides a user's trades in the order of their time, however they arrive.
+    """Decides the trades of a bucket of users in the order of their time, however they arrive.
 
-    Trades wait under their millisecond, which has a timer; when the watermark passes it,
-    those trades, and no others, are read and decided.  Balance and positions are states of
-    their own, one value for each symbol.
+    Trades wait in pages, each sorted by time; the directory has the first time of each page, and the
+    earliest one has the bucket's timer.  When the watermark passes it, the trades before the watermark
+    are merged from the pages and decided; a page is read when the merge reaches its first trade, so no more
+    are held than overlap at one time.  Each user's book is read and written once for many trades.
     """
 
     def __init__(self, balance: float = START_BALANCE):
@@ -70,37 +120,80 @@ class LedgerProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.balance = handle.getValueState("balance", "balance double")
-        self.positions = handle.getMapState("positions", "symbol string", "quantity double, avg_cost double")
-        self.waiting = handle.getMapState("waiting", "ms bigint", _WAITING)
+        self.directory = handle.getValueState("directory", "page array<bigint>, first array<bigint>")
+        self.waiting = handle.getMapState("waiting", "page bigint", _PAGE_SCHEMA)
+        self.books = handle.getMapState("books", "user_id bigint", _BOOK_SCHEMA)
+        self.others = handle.getMapState("others", "user_id bigint, symbol string", "quantity double, avg_cost double")
+
+    def _pages(self) -> dict[int, int]:
+        saved = self.directory.get()
+        return {} if saved is None else dict(zip(*saved))
+
+    def _keep(self, pages: dict[int, int], timer: int | None) -> None:
+        """Writes the directory and moves the timer from ``timer`` to the earliest trade's millisecond."""
+        if pages:
+            self.directory.update((list(pages), list(pages.values())))
+        else:
+            self.directory.clear()
+        first = min(pages.values()) // 1000 if pages else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pages = self._pages()
+        timer = min(pages.values()) // 1000 if pages else None
+        last = max(pages, default=-1)
         for frame in rows:
-            arrived: dict[int, list[tuple]] = {}
-            for t in frame.itertuples(index=False):
-                ts = t.ts.to_pydatetime()
-                ms = (ts - _EPOCH) // dt.timedelta(milliseconds=1)
-                arrived.setdefault(ms, []).append((
-                    int(t.trade_id) if isinstance(t.trade_id, str) else None, ts, *(x if isinstance(x, str) else None for x in (t.symbol, t.side)),
-                    *(None if pd.isna(x) else float(x) for x in (t.quantity, t.price))))
-            for ms, trades in arrived.items():
-                known = self.waiting.getValue((ms,))
-                if known is None:
-                    self.handle.registerTimer(ms)
-                else:
-                    trades = [*(tuple(t) for t in known[0]), *trades]
-                self.waiting.updateValue((ms,), (trades,))
+            ids = ([int(x) if isinstance(x, str) else None for x in frame[c]] for c in ("trade_id", "user_id"))
+            texts = ([x if isinstance(x, str) else None for x in frame[c]] for c in ("symbol", "side"))
+            numbers = ([None if x != x else x for x in frame[c].astype("float64").tolist()] for c in ("quantity", "price"))
+            trades = sorted(zip(frame["at"].tolist(), *ids, *texts, *numbers), key=_order)
+            for begin in range(0, len(trades), PAGE):
+                last += 1
+                self._write(last, trades[begin:begin + PAGE], pages)
+        self._keep(pages, timer)
         return iter(())
 
+    def _write(self, page: int, trades: list[tuple], pages: dict[int, int]) -> None:
+        self.waiting.updateValue((page,), tuple(list(column) for column in zip(*trades)))
+        pages[page] = trades[0][0]
+
+    def _book(self, user_id: int | None) -> _Book:
+        book, saved = _Book(user_id), self.books.getValue((user_id,))
+        book.balance, others, symbols, *sizes = (self.start, 0, [], [], []) if saved is None else saved
+        book.positions = _StoredPositions(self.others, user_id, dict(zip(symbols, zip(*sizes))), others)
+        return book
+
+    def _save(self, books: dict[int | None, _Book]) -> None:
+        for user_id, book in books.items():
+            held = book.positions
+            if held.changed:
+                sizes = [[position[i] for position in held.near.values()] for i in (0, 1)]
+                self.books.updateValue((user_id,), (book.balance, held.others, list(held.near), *sizes))
+                held.save_others()
+        books.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        book = _Book(key[0])
-        saved = self.balance.get()
-        book.balance = self.start if saved is None else saved[0]
-        book.positions = _StoredPositions(self.positions)
-        out = []
-        for trade, ts, symbol, side, quantity, price in sorted(
-                (tuple(t) for t in self.waiting.getValue((ms,))[0]), key=lambda t: (t[1], t[0] is not None, t[0])):
+        end = 1000 * max(expiredTimerInfo.getExpiryTimeInMs() + 1, timerValues.getCurrentWatermarkInMs())
+        pages = self._pages()
+        unread = sorted(((first, page) for page, first in pages.items() if first < end), reverse=True)
+        books, out = {}, []
+        heap: list[tuple[tuple, int, int, list[tuple]]] = []
+        while heap or unread:
+            while unread and (not heap or unread[-1][0] <= heap[0][0][0]):
+                page = unread.pop()[1]
+                trades = list(zip(*self.waiting.getValue((page,))))
+                heapq.heappush(heap, (_order(trades[0]), page, 0, trades))
+            _, page, place, trades = heap[0]
+            at, trade, user_id, symbol, side, quantity, price = trades[place]
+            if at >= end:
+                break
+            if user_id not in books:
+                books[user_id] = self._book(user_id)
+            book = books[user_id]
             entry = pnl = None
             if not symbol or not side or not quantity or not price:
                 reason = "missing_field"
@@ -108,13 +201,31 @@ class LedgerProcessor(StatefulProcessor):
                 reason = "invalid_side"
             else:
                 reason, entry, pnl = book.apply(symbol, side, quantity, price)
-            out.append((key[0], trade, ts, symbol, side, quantity, price,
+            out.append((user_id, trade, at, symbol, side, quantity, price,
                         "REJECTED" if reason else "COMPLETED", reason, entry, pnl, book.balance))
-        self.balance.update((book.balance,))
-        self.waiting.removeKey((ms,))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_STREAM_SCHEMA.split(", ")])
-        frame["trade_id"] = pd.array([row[1] for row in out], dtype="Int64")
-        yield frame
+            if place + 1 < len(trades):
+                heapq.heapreplace(heap, (_order(trades[place + 1]), page, place + 1, trades))
+            else:
+                heapq.heappop(heap)
+                self.waiting.removeKey((page,))
+                del pages[page]
+            if len(out) == CHUNK:
+                self._save(books)
+                yield self._frame(out)
+                out = []
+        for _, page, place, trades in heap:
+            self._write(page, trades[place:], pages)
+        self._save(books)
+        # The expired timer goes by itself.
+        self._keep(pages, None)
+        if out:
+            yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=_DECIDED)
+        for i in (0, 1):
+            frame[_DECIDED[i]] = pd.array([row[i] for row in rows], dtype="Int64")
+        return frame
 
     def close(self) -> None:
         pass
@@ -127,10 +238,13 @@ def stream_ledger(trades: DataFrame, balance: float = START_BALANCE, late: str =
     without a time, are dropped, as from any stream with a watermark.
     """
     # Ids travel as text: pandas would read a column with nulls as floats.
-    named = trades.withColumn("trade_id", F.col("trade_id").cast("string"))
-    return named.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=LedgerProcessor(balance), outputStructType=LEDGER_STREAM_SCHEMA,
+    named = trades.filter(F.col("ts").isNotNull()).withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).alias("bucket"), "ts", F.unix_micros("ts").alias("at"),
+        *[F.col(c).cast("string").alias(c) for c in ("user_id", "trade_id")], "symbol", "side", "quantity", "price")
+    decided = named.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=LedgerProcessor(balance), outputStructType=_DECIDED_SCHEMA,
         outputMode="Append", timeMode="EventTime")
+    return decided.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
 
 
 def stream_dedup(articles: DataFrame, ts: str = "published", late: str = "14 days") -> DataFrame:
