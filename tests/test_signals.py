@@ -95,6 +95,18 @@ def test_fallback_and_model(spark):
         assert r["bull"] + r["neutral"] + r["bear"] == pytest.approx(1)
 
 
+def test_forecast_computes_its_features_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    once = features(spark, 12).withColumn("label", F.udf(seen, "int")("label"))
+    assert FC.forecast(once, F.lit("2024-06-01").cast("date"), max_iter=2).count() == 3
+    assert calls.value == 12
+
+
 def test_evaluation_wide_table_and_files(spark, tmp_path):
     fc = spark.createDataFrame([("A", D, 0.452, 0.267, 0.281), ("A", D + dt.timedelta(days=1), 0.1, 0.1, 0.8), ("B", D, 0.3, 0.4, 0.3)],
                                "ticker string, date date, bull double, neutral double, bear double")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators.signals import FEATURES
+from tickerloom.plans.stored import stored
 
 LENGTH = 7
 DAYS = 3
@@ -108,7 +109,11 @@ def predict(model: PipelineModel, windows: DataFrame) -> DataFrame:
 
 
 def forecast(features: DataFrame, today: Column, max_iter: int = 40) -> DataFrame:
-    """Model cases where the history is long enough, fixed cases elsewhere."""
+    """Model cases where the history is long enough, fixed cases elsewhere.
+
+    Maxima, windows, training and fixed cases all read the features, which are written first.
+    """
+    features = stored(features, "features")
     model = fit_model(training_sequences(features), max_iter)
     long_enough = features.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LENGTH + 1)
     windows = inference_windows(features.join(long_enough, "ticker", "left_semi"))

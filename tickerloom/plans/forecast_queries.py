@@ -82,7 +82,7 @@ mx AS (SELECT ticker, {_MAX} FROM back WHERE n > 1 GROUP BY 1),
 q AS (SELECT ticker, date, list({_SCALED}) {_W} AS x, label AS y FROM feat JOIN mx USING (ticker))
 SELECT ticker, CAST(date AS VARCHAR) AS date, {_TEXT} AS x, y FROM q WHERE len(x) = 7""")
 def scaled_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return _sequence_text(FC.training_sequences(_features(spark, sf)))
+    return _sequence_text(FC.training_sequences(stored(_features(spark, sf), "features")))
 
 
 @register(f"""WITH {FEATURES},
@@ -104,7 +104,7 @@ steps AS (SELECT ticker, last + d AS date,
           FROM packed, (SELECT unnest([1, 2, 3]) AS d))
 SELECT ticker, strftime(date, '%Y-%m-%d') AS date, {_TEXT} AS x FROM steps""")
 def roll_forward_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _sequence_text(FC.inference_windows(_features(spark, sf)))
+    return _sequence_text(FC.inference_windows(stored(_features(spark, sf), "features")))
 
 
 FALLBACK = f"""{NEWS}, {SIGNAL},
